@@ -37,6 +37,16 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def size_in_bytes(df: DataFrame) -> int:
+    """What the planner takes df to be, from the sizes of its files."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+
+
+def few_files(df: DataFrame, size: int, each: int = 8 << 20) -> DataFrame:
+    """df in no more partitions than `size` bytes fill (two a core at least): a small result isn't many files."""
+    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, size // each))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -60,12 +70,15 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """
     both = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a <> b")
     both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp")), "labels")
+    size = 16 * both.count()
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp"))
+    labels = written(few_files(labels, size), "labels")
     while True:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("least"))
         new = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
-        new = written(new.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("comp")), "labels")
+        new = new.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("comp"))
+        new = written(few_files(new, size), "labels")
         labels, changed = new.select("node", "comp"), not new.where("old <> comp").isEmpty()
         if not changed:
             return labels

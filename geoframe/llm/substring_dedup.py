@@ -92,6 +92,7 @@ def dedup(docs: DataFrame, text: str = "text", run_words: int = RUN_WORDS, unit_
     own = docs.select(*[c for c in docs.columns if c != "removed"])
     ranked = keyed(own, text)
     found = ranked.join(removals(ranked, text, unit_words), ["__rank", "__key"], "left").select(*own.columns, "starts")
+    found = common.few_files(found, common.size_in_bytes(own))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema) + ", removed array<struct<start:int,`end`:int>>"
     names = own.columns
     at = names.index(text)

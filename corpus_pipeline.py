@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from geoframe.llm import language_id, packing, substring_dedup
+from geoframe.llm import language_id, ngram_join, packing, substring_dedup
 
 STAGES = [
     ("language ID", language_id.stage),
+    ("n-gram Jaccard join", ngram_join.stage),
     ("substring dedup", substring_dedup.stage),
     ("best-fit packing", packing.stage),
 ]

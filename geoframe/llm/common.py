@@ -39,7 +39,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 def size_in_bytes(df: DataFrame) -> int:
     """What the planner takes df to be, from the sizes of its files."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def few_files(df: DataFrame, size: int, each: int = 8 << 20) -> DataFrame:
@@ -84,21 +84,21 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
             return labels
 
 
-def with_lookup(rows: DataFrame, found: DataFrame, keys: list[str], count: str, hot_share: float = 0.001) -> DataFrame:
+def with_lookup(rows: DataFrame, found: DataFrame, keys: list[str], count: str, by: Column, hot_share: float = 0.001) -> DataFrame:
     """rows left-joined to found (one row a key, with the number of its rows in `count`).
 
     Keys with more than hot_share of all rows are joined by broadcast: there are at most
-    1 / hot_share of them, whatever the input. The others are shuffled.
+    1 / hot_share of them, whatever the input. The others are shuffled; rows that need
+    nothing from the shuffle (answered, or with a null key) are dealt out by `by`.
     """
     total = found.agg(F.sum(count)).first()[0] or 0
     hot = F.col(count) > max(1000.0, hot_share * total)
     wide = [c for c in found.columns if c not in keys]
     first = rows.join(F.broadcast(found.where(hot).select(*keys, F.struct(*wide).alias("_hot"))), keys, "left")
-    # a row that the broadcast side has answered takes a key of its own to the shuffle: null never matches
-    probe = [F.when(F.col("_hot").isNull(), F.col(k)).alias(f"_k{i}") for i, k in enumerate(keys)]
-    rest = found.where(~hot).select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], F.struct(*wide).alias("_cold"))
-    spread = F.when(F.col("_hot").isNotNull(), F.xxhash64(F.rand(7)) % 1024)
-    joined = first.select("*", *probe, spread.alias("_salt")).join(
-        rest.withColumn("_rsalt", F.lit(None).cast("long")),
-        [F.col(f"_k{i}") == F.col(f"_r{i}") for i in range(len(keys))], "left")
+    idle = F.col("_hot").isNotNull() | F.col(keys[0]).isNull()
+    probe = [F.when(~idle, F.col(k)).alias(f"_k{i}") for i, k in enumerate(keys)]
+    rest = found.where(~hot).select(*[F.col(k).alias(f"_r{i}") for i, k in enumerate(keys)], F.lit(0).cast("long").alias("_rs"), F.struct(*wide).alias("_cold"))
+    salt = F.when(idle, 1 + F.pmod(F.xxhash64(by), F.lit(1 << 20))).otherwise(F.lit(0)).cast("long").alias("_ks")
+    on = [F.col(f"_k{i}") == F.col(f"_r{i}") for i in range(len(keys))] + [F.col("_ks") == F.col("_rs")]
+    joined = first.select("*", *probe, salt).join(rest, on, "left")
     return joined.select(*rows.columns, *[F.coalesce(F.col(f"_hot.{c}"), F.col(f"_cold.{c}")).alias(c) for c in wide])

@@ -1,8 +1,9 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from geoframe.llm import language_id, packing, substring_dedup, warc
+from geoframe.llm import language_id, ngram_join, packing, substring_dedup, warc
 
 QUERIES = {
+    "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
     "op2_best_fit_packing": packing.op2_best_fit_packing,
     "op7_warc": warc.op7_warc,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,

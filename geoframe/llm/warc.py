@@ -90,7 +90,7 @@ def write(pages: DataFrame, folder: str, least: int = 1000, most: int = 64 << 20
     made = source.mapInArrow(compress, "page_id long, url string, digest string, size long, record binary")
     # small payloads and rows without an id stand for themselves: their key matches nothing
     made = made.withColumn("key", F.when((F.col("size") >= least) & F.col("page_id").isNotNull(), F.col("digest")))
-    known = common.with_lookup(made, groups.withColumnRenamed("digest", "key"), ["key"], "copies")
+    known = common.with_lookup(made, groups.withColumnRenamed("digest", "key"), ["key"], "copies", F.col("page_id"))
     revisit = F.col("last").isNotNull() & (F.col("last") != F.col("page_id"))
     rows = known.select("page_id", "url", "digest", "size", F.when(revisit, F.col("last")).alias("refers_to"), F.when(~revisit | F.col("last").isNull(), F.col("record")).alias("record"))
 

@@ -42,7 +42,7 @@ def size_in_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def few_files(df: DataFrame, size: int, each: int = 8 << 20) -> DataFrame:
+def few_files(df: DataFrame, size: int, each: int = 64 << 20) -> DataFrame:
     """df in no more partitions than `size` bytes fill (two a core at least): a small result isn't many files."""
     return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, size // each))
 

@@ -192,10 +192,10 @@ def join(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, word
     used = prefix_depth(threshold, trees, depth, recall)
     # ranks: a null id before all others; its class is told as null again at the end
     docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(-2**63)).alias("doc_id"), F.col(text).alias("text"))
-    own = common.written(signatures(docs, "text", words, trees, used), "signatures")
+    own = common.written(common.few_files(signatures(docs, "text", words, trees, used), common.size_in_bytes(docs)), "signatures")
     key = ["d1", "d2", "n"]
     classes = own.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes"))
-    classes = common.written(classes, "classes")
+    classes = common.written(common.few_files(classes, common.size_in_bytes(own)), "classes")
     nodes = classes.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
     hubs = nodes.groupBy("tree", "prefix").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
     edges = nodes.join(hubs.select("tree", "prefix", "hub"), ["tree", "prefix"]).where("hub <> rep").select(F.col("rep").alias("u"), F.col("hub").alias("v")).distinct()

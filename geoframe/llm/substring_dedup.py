@@ -80,7 +80,7 @@ def removals(docs: DataFrame, text: str = "text", unit_words: int = UNIT_WORDS)
                 yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["__rank", "__key", "start", "h1", "h2"])
 
     rows = docs.select("__rank", "__key", F.col(text).alias("text")).mapInArrow(cut, "__rank long, __key long, start int, h1 long, h2 long")
-    rows = common.written(rows, "units")
+    rows = common.written(common.few_files(rows, common.size_in_bytes(docs)), "units")
     place = F.struct("__rank", "__key", "start")
     first = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
     later = rows.join(first.select("h1", "h2", "first"), ["h1", "h2"]).where(place > F.col("first"))

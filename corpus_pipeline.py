@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from geoframe.llm import language_id, ngram_join, packing, substring_dedup
+from geoframe.llm import language_id, ngram_join, packing, pii, substring_dedup
 
 STAGES = [
     ("language ID", language_id.stage),
     ("n-gram Jaccard join", ngram_join.stage),
     ("substring dedup", substring_dedup.stage),
+    ("PII", pii.stage),
     ("best-fit packing", packing.stage),
 ]
 

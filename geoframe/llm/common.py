@@ -44,7 +44,8 @@ def size_in_bytes(df: DataFrame) -> int:
 
 def few_files(df: DataFrame, size: int, each: int = 64 << 20) -> DataFrame:
     """df in no more partitions than `size` bytes fill (two a core at least): a small result isn't many files."""
-    return df.coalesce(max(2 * df.sparkSession.sparkContext.defaultParallelism, size // each))
+    # where the planner knows no size it says a huge one: the partitions stay as they are
+    return df.coalesce(min(max(2 * df.sparkSession.sparkContext.defaultParallelism, size // each), 1 << 20))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

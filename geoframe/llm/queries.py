@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from geoframe.llm import embedding_dedup, language_id, ngram_join, order_minhash, packing, substring_dedup, warc
+from geoframe.llm import embedding_dedup, language_id, ngram_join, order_minhash, packing, pii, substring_dedup, warc
 
 QUERIES = {
     "op1_ngram_jaccard_join": ngram_join.op1_ngram_jaccard_join,
@@ -10,6 +10,7 @@ QUERIES = {
     "op7_warc": warc.op7_warc,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_language_id": language_id.op9_language_id,
+    "op10_pii_surrogates": pii.op10_pii_surrogates,
 }
 
 ORACLES = {"op3_embedding_near_dedup": embedding_dedup.OP3_SQL, "op7_warc": warc.OP7_SQL}

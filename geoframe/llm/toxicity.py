@@ -29,7 +29,7 @@ from geoframe.llm import common
 WINDOW, STEP = 24, 12
 WORD_ROWS, EDGE_ROWS, GRAM_ROWS = 1 << 16, 1 << 15, 1 << 15
 DIM, HIDDEN = 12, 8
-MOST = 2000
+MOST = 800
 
 _BREAK = np.ones(256, bool)
 _BREAK[128:] = False

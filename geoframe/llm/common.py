@@ -62,6 +62,19 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("geoframe_worker_cache", types.ModuleType("geoframe_worker_cache")).__dict__
 
 
+def trim() -> None:
+    """Give back to the system what a Python worker has freed: idle workers count on an executor's memory."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, comp) for every end of an edge; comp is the smallest node that links reach.
 

@@ -80,7 +80,7 @@ class PPM:
             return count / n
         return count / (n + d) + d / (n + d) * left / left.sum()
 
-    def bits(self, texts: list[bytes], most: int = 1 << 21) -> np.ndarray:
+    def bits(self, texts: list[bytes], most: int = 1 << 18) -> np.ndarray:
         """Code lengths, by text and language. Texts are scored in runs of about `most` bytes."""
         out = np.zeros((len(texts), len(self.langs)))
         start = 0
@@ -138,12 +138,12 @@ def identify(docs: DataFrame, model: PPM, text: str = "text") -> DataFrame:
 
     def score(batches):
         ppm = shared.value
-        for batch in batches:
+        for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
             letter = np.array(batch.column("__letter").to_pylist(), bool)
             raw = [(t.as_py() or "").encode("utf-8", "replace") if has else b"" for t, has in zip(batch.column(text), letter)]
             rest = batch.drop_columns(["__letter"])
             pred, conf, rate = np.full(len(letter), "und", object), np.zeros(len(letter)), np.zeros(len(letter))
-            if ppm.langs and len(letter):
+            if ppm.langs:
                 bits = ppm.bits(raw)
                 best = bits.argmin(1)
                 least = bits[np.arange(len(best)), best]
@@ -154,6 +154,7 @@ def identify(docs: DataFrame, model: PPM, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, pa.array(pred, pa.string()), pa.array(conf, pa.float64()), pa.array(rate, pa.float64())],
                 names=[*rest.schema.names, "lang_pred", "score", "bits_per_byte"])
+        common.trim()
 
     return keep.mapInArrow(score, schema)
 

@@ -103,8 +103,8 @@ def signatures(docs: DataFrame, text: str, words: int, trees: int, depth: int) -
 
     def run(batches):
         for b in batches:
-            for lo in range(0, b.num_rows, 1024):
-                part = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
                 flat, count = shingles(*_lists(part.column("w")), words)
                 full = count > 0
                 begins = np.concatenate([[0], np.cumsum(count[full])[:-1]]).astype(np.int64)
@@ -118,6 +118,7 @@ def signatures(docs: DataFrame, text: str, words: int, trees: int, depth: int) -
                     [part.column("id"), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(count),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * trees), pa.array(pre.view(np.int64).ravel()))],
                     names=["id", "d1", "d2", "n", "prefixes"])
+        common.trim()
 
     rows = docs.select(F.col("doc_id").alias("id"), word_hashes(text).alias("w"))
     return rows.mapInArrow(run, "id long, d1 long, d2 long, n long, prefixes array<long>")

@@ -34,43 +34,55 @@ class Encoder:
 
     A byte-level BPE never merges across a single space between two other characters, so a
     text is encoded space by space, and encodings are remembered (up to `most` of them).
-    Texts with other white space next to a space are encoded whole.
+    Words that aren't known yet are encoded in one go: a token that starts with a space starts
+    the next word. Texts with other white space next to a space are encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        n = self.tok.get_vocab_size()
+        self.starts = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(n)])
         self.most, self.known = most, {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def learn(self, words: list[str]) -> None:
+        fit = []
+        for w in words:
+            if not w or w[0].isspace() or w[-1].isspace():
+                self.known[w] = None  # a text with such a word is encoded whole
+            else:
+                fit.append(w)
+        for lo in range(0, len(fit), 1000):
+            part = fit[lo: lo + 1000]
+            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            at = np.append(np.flatnonzero(self.starts[ids]), len(ids)) * 4
+            if len(at) != len(part) + 1:
+                raise ValueError("the tokenizer joins words")
+            raw = ids.tobytes()
+            self.known.update(zip(part, [raw[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist())]))
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        plain = [bool(t) and t.isprintable() for t in texts]
-        for k, ok in enumerate(plain):
-            if not ok and texts[k]:  # white space other than single spaces inside words' runs
-                plain[k] = all(w and not w[0].isspace() and not w[-1].isspace() for w in parts[k])
-            elif ok:
-                plain[k] = all(parts[k])
         if len(self.known) > self.most:
             self.known.clear()
         known = self.known
-        new = {w for p, ok in zip(parts, plain) if ok for w in p[1:] if w not in known}
+        parts = [t.split(" ") for t in texts]
+        new = set().union(*[p[1:] for p in parts]).difference(known)
         if new:
-            new = list(new)
-            known.update(zip(new, self.whole([" " + w for w in new])))
-        out: list[bytes | None] = [None] * len(texts)
-        first = self.whole([p[0] for p, ok in zip(parts, plain) if ok])
-        heads = iter(first)
-        for k, ok in enumerate(plain):
-            if ok:
-                p = parts[k]
-                p[0] = ""
-                out[k] = next(heads) + b"".join([known[w] for w in p[1:]])
-        rest = [k for k, ok in enumerate(plain) if not ok]
+            self.learn(sorted(new))
+        heads = self.whole([p[0] for p in parts])
+        out: list[bytes | None] = []
+        for head, p in zip(heads, parts):
+            try:
+                first = p[0]
+                out.append(None if first and first[-1].isspace() and len(p) > 1 else head + b"".join([known[w] for w in p[1:]]))
+            except TypeError:
+                out.append(None)
+        rest = [k for k, ids in enumerate(out) if ids is None]
         for k, ids in zip(rest, self.whole([texts[k] for k in rest])):
             out[k] = ids
         return out
@@ -104,6 +116,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, text: str = "text", ext
                 yield pa.RecordBatch.from_arrays(
                     [*kept.columns, pa.array(piece.astype(np.int32)), pa.array(start), pa.array(length), pa.array(crc)],
                     names=[*own, "piece", "start", "length", "ids_crc32"])
+        common.trim()
 
     return docs.select(*own, F.col(text).alias("__text")).mapInArrow(run, schema)
 

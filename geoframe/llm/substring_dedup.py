@@ -78,6 +78,7 @@ def removals(docs: DataFrame, text: str = "text", unit_words: int = UNIT_WORDS)
                             h = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "replace"))
                             rank.append(r), key.append(k), start.append(a), h1.append((h >> 64) - 2**63), h2.append((h & 2**64 - 1) - 2**63)
                 yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["__rank", "__key", "start", "h1", "h2"])
+        common.trim()
 
     rows = docs.select("__rank", "__key", F.col(text).alias("text")).mapInArrow(cut, "__rank long, __key long, start int, h1 long, h2 long")
     rows = common.written(common.few_files(rows, common.size_in_bytes(docs)), "units")
@@ -98,7 +99,7 @@ def dedup(docs: DataFrame, text: str = "text", run_words: int = RUN_WORDS, unit_
     at = names.index(text)
 
     def drop(batches):
-        for b in batches:
+        for b in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
             texts, gone = b.column(text).to_pylist(), []
             for k, (t, starts) in enumerate(zip(texts, b.column("starts").to_pylist())):
                 cuts = spans(t, set(starts), run_words, unit_words) if t and starts else []
@@ -109,6 +110,7 @@ def dedup(docs: DataFrame, text: str = "text", run_words: int = RUN_WORDS, unit_
             columns = list(b.drop_columns(["starts"]).columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, pa.array(gone, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))], names=[*names, "removed"])
+        common.trim()
 
     return found.mapInArrow(drop, schema)
 

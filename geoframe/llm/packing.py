@@ -15,6 +15,7 @@ rows are separate pieces and get separate places. An empty table gives an empty
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left
 
@@ -27,6 +28,8 @@ from geoframe.llm import common
 
 SIZE = 1024
 END_ID = 2
+#: Fixed value: how byte-level BPE cuts texts before it merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 class Encoder:
@@ -35,7 +38,9 @@ class Encoder:
     A byte-level BPE never merges across a single space between two other characters, so a
     text is encoded space by space, and encodings are remembered (up to `most` of them).
     Words that aren't known yet are encoded in one go: a token that starts with a space starts
-    the next word. Texts with other white space next to a space are encoded whole.
+    the next word. Their merges are made by tiktoken, from the file's own vocabulary, where the
+    file's merges are in the order of their ids. Texts with other white space next to a space are
+    encoded whole, by tokenizers.
     """
 
     def __init__(self, path: str, most: int = 200_000):
@@ -46,6 +51,23 @@ class Encoder:
         n = self.tok.get_vocab_size()
         self.starts = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(n)])
         self.most, self.known = most, {}
+        self.merge = self._merger(path) or (lambda text: self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids)
+
+    @staticmethod
+    def _merger(path: str):
+        """tiktoken's encoder over the file's vocabulary, or None if it wouldn't do the same."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, merges = model["vocab"], model["merges"]
+        if any(vocab["".join(m.split(" ") if isinstance(m, str) else m)] != 256 + k for k, m in enumerate(merges)):
+            return None
+        # printable bytes stand for themselves in the file; the others follow from code point 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        byte = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(x for x in range(256) if x not in set(shown))}
+        ranks = {bytes(byte[c] for c in t): i for t, i in vocab.items() if i < 256 + len(merges)}
+        return tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -59,7 +81,7 @@ class Encoder:
                 fit.append(w)
         for lo in range(0, len(fit), 1000):
             part = fit[lo: lo + 1000]
-            ids = np.array(self.tok.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.merge(" " + " ".join(part)), "<u4")
             at = np.append(np.flatnonzero(self.starts[ids]), len(ids)) * 4
             if len(at) != len(part) + 1:
                 raise ValueError("the tokenizer joins words")
@@ -73,7 +95,7 @@ class Encoder:
         parts = [t.split(" ") for t in texts]
         new = set().union(*[p[1:] for p in parts]).difference(known)
         if new:
-            self.learn(sorted(new))
+            self.learn(list(new))
         heads = self.whole([p[0] for p in parts])
         out: list[bytes | None] = []
         for head, p in zip(heads, parts):

@@ -31,6 +31,8 @@ class PPM:
 
     def __init__(self, samples: dict[str, list[str]]):
         self.langs = sorted(samples)
+        if not self.langs:
+            return
         grams = {lang: self._grams(samples[lang]) for lang in self.langs}
         root = np.full((256, len(self.langs)), 1 / 256)
         zero = np.stack([self._node(root[:, j], np.bincount(grams[x][3], minlength=256)) for j, x in enumerate(self.langs)], 1)

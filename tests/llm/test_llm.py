@@ -17,7 +17,7 @@ LONG = " ".join(f"word{i % 977} and{i % 13}" for i in range(30000))
 
 
 def docs(spark, tmp_path, rows, schema=DOCS):
-    path = str(tmp_path / "documents.parquet")
+    path = str(tmp_path / f"documents{len(list(tmp_path.iterdir()))}.parquet")
     spark.createDataFrame(rows, schema).repartition(3).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

@@ -1,7 +1,8 @@
 """SentencePiece encoding and decoding, on a relational lattice.
 
-Encoding: texts are cut into words (spaces and what follows them; no piece crosses such a
-cut). Of the distinct words all substrings up to the longest piece's length are exploded and
+Encoding: texts are cut into words where a space follows another character, and between
+neighbours that stand side by side in no piece: no piece crosses such a cut, so it changes no
+result. Of the distinct words all substrings up to the longest piece's length are exploded and
 equi-joined to the piece table, which gives the lattice's edges; they are grouped by word,
 and a fold with Spark's `aggregate` turns each lattice into ids. The distinct words are
 grouped once, so the joins that follow need no further shuffle. Each input partition then
@@ -85,6 +86,7 @@ class Pieces:
         bad = [p for p, _, _ in self.rows if re.search(f"[^{SPACE}]{SPACE}", p)]
         if bad:
             raise ValueError(f"pieces span words: {bad[:3]}")
+        self.bridges = {p[k: k + 2].replace(SPACE, " ") for p, _, _ in self.rows for k in range(len(p) - 1)}
         self.text = [b"" if sp.is_control(i) else bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if i == self.unknown else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
 
 
@@ -93,6 +95,16 @@ def words(text: str | None) -> list[str]:
     return re.findall(" +[^ ]*", " " + text) if text else []
 
 
+def cut(word: str, bridges: set[str]) -> list[str]:
+    """A word, cut between neighbours that no piece holds side by side."""
+    out, start, shown = [], 0, word.replace(SPACE, " ")
+    for k in range(1, len(word)):
+        if shown[k - 1: k + 1] not in bridges:
+            out.append(word[start:k])
+            start = k
+    return [*out, word[start:]]
+
+
 def _fold(kind: int, least: float) -> str:
     """SQL that turns a word's lattice into an array of (start, end) cuts.
 
@@ -104,9 +116,10 @@ def _fold(kind: int, least: float) -> str:
             s0[s].score + coalesce({edge('s', 'e')}.score, CASE WHEN e - s = 1 THEN {least - 10}D ELSE -1e30D END), 'back', s))"""
         reach = f"aggregate(sequence(1, n), array(named_struct('score', 0D, 'back', 0)), (s0, e) -> concat(s0, array(aggregate({from_}, named_struct('score', -1e300D, 'back', -1), (x, y) -> CASE WHEN y.score > x.score THEN y ELSE x END))))"
         return f"transform(array({reach}), p -> reverse(filter(aggregate(sequence(1, n), array(n), (c, i) -> CASE WHEN element_at(c, -1) > 0 THEN concat(c, array(p[element_at(c, -1)].back)) ELSE c END), x -> true)))[0]"
+    # a state that starts with -1 is done
     pairs = f"transform(sequence(0, size(b) - 3), i -> coalesce({edge('b[i]', 'b[i + 2]')}.score, -1e30D))"
-    merge = "transform(array(array_max(c)), x -> CASE WHEN x > -1e30D THEN transform(array(array_position(c, x)), p -> concat(slice(b, 1, p), slice(b, p + 2, size(b))))[0] ELSE b END)[0]"
-    return f"aggregate(sequence(1, greatest(n - 1, 1)), sequence(0, n), (b, _) -> CASE WHEN size(b) < 3 THEN b ELSE transform(array({pairs}), c -> {merge})[0] END)"
+    merge = "transform(array(array_max(c)), x -> CASE WHEN x > -1e30D THEN transform(array(array_position(c, x)), p -> concat(slice(b, 1, p), slice(b, p + 2, size(b))))[0] ELSE concat(array(-1), b) END)[0]"
+    return f"filter(aggregate(sequence(1, greatest(n - 1, 1)), sequence(0, n), (b, _) -> CASE WHEN b[0] < 0 OR size(b) < 3 THEN b ELSE transform(array({pairs}), c -> {merge})[0] END), x -> x >= 0)"
 
 
 def lattice(distinct: DataFrame, pieces: Pieces, word: str = "word") -> DataFrame:
@@ -117,10 +130,13 @@ def lattice(distinct: DataFrame, pieces: Pieces, word: str = "word") -> DataFram
     shown = F.regexp_replace(F.col(word), " ", SPACE)
     n = F.length(word)
     spots = F.expr(f"flatten(transform(sequence(0, length({word}) - 1), s -> transform(sequence(1, least({pieces.longest}, length({word}) - s)), k -> named_struct('s', s, 'k', k, 'piece', substring(_w, s + 1, k)))))")
-    edges = distinct.select(word, shown.alias("_w")).select(word, F.explode(spots).alias("_e")).select(word, F.col("_e.s").alias("s"), F.col("_e.k").alias("k"), F.col("_e.piece").alias("piece"))
-    edges = edges.join(table, "piece").select(word, (F.col("s") * 65536 + F.col("s") + F.col("k")).alias("at"), "id", "score")
-    grouped = edges.groupBy(word).agg(F.map_from_entries(F.collect_list(F.struct("at", F.struct("id", "score")))).alias("_m"))
-    whole = distinct.join(grouped, word, "left").select(word, *others, F.coalesce("_m", F.create_map().cast("map<int,struct<id:int,score:double>>")).alias("_m"), n.alias("n"), F.lit(pieces.longest).alias("_k"))
+    edges = distinct.select(word, *others, shown.alias("_w")).select(word, *others, F.explode(spots).alias("_e"))
+    edges = edges.select(word, *others, F.col("_e.s").alias("s"), F.col("_e.k").alias("k"), F.col("_e.piece").alias("piece"))
+    # a word whose substrings are no pieces keeps its first row, without an edge
+    edges = edges.join(table, "piece", "left").where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("k") == 1)))
+    edge = F.when(F.col("id").isNotNull(), F.struct((F.col("s") * 65536 + F.col("s") + F.col("k")).alias("at"), F.struct("id", "score").alias("v")))
+    grouped = edges.groupBy(word).agg(*[F.first(c).alias(c) for c in others], F.map_from_entries(F.collect_list(edge)).alias("_m"))
+    whole = grouped.select(word, *others, "_m", n.alias("n"), F.lit(pieces.longest).alias("_k"))
     cuts = whole.select(word, *others, "_m", F.expr(_fold(pieces.kind, pieces.least)).alias("_b"))
     if pieces.byte0 >= 0:
         bytes_ = f"transform(regexp_extract_all(hex(encode(replace(substring({word}, _b[i] + 1, _b[i + 1] - _b[i]), ' ', '{SPACE}'), 'UTF-8')), '(..)', 1), x -> cast(conv(x, 16, 10) AS int) + {pieces.byte0})"
@@ -135,15 +151,25 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
     spark = docs.sparkSession
     pieces = Pieces(path)
 
+    bridges = pieces.bridges
+    if any("\n" in x for x in bridges):
+        raise ValueError("pieces that hold line ends aren't supported")
+
     def found(batches):
-        part, seen = TaskContext.get().partitionId(), set()
+        part, known, seen = TaskContext.get().partitionId(), set(), set()
         for b in batches:
-            for t in b.column(0).to_pylist():
-                seen.update(words(t))
-        seen = [w for w in seen if len(w) <= longest]
+            for lo in range(0, b.num_rows, 512):
+                new = set()
+                for t in b.column(0).slice(lo, 512).to_pylist():
+                    new.update(words(t))
+                new -= known
+                seen.update(u for w in new for u in cut(w, bridges) if len(u) <= longest)
+                known = known | new if len(known) < 200_000 else new
+        seen = list(seen)
         for lo in range(0, len(seen), 1 << 16):
             w = pa.array(seen[lo: lo + (1 << 16)], pa.string())
             yield pa.RecordBatch.from_arrays([w, pa.array(np.full(len(w), part, np.int32))], names=["word", "part"])
+        common.trim()
 
     # a word is in each partition once, so its list is no longer than the number of partitions
     distinct = docs.select(text).mapInArrow(found, "word string, part int").groupBy("word").agg(F.collect_list("part").alias("parts"))
@@ -158,7 +184,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
         from pyarrow import fs
         import pyarrow.parquet as pq
 
-        part, table, library = TaskContext.get().partitionId(), None, None
+        part, table, whole = TaskContext.get().partitionId(), None, {}
+        library = None
+
+        def long(unit: str) -> bytes:
+            nonlocal library
+            library = library or sentencepiece.SentencePieceProcessor(model_file=path)
+            # the library's dummy prefix stands for a unit's first space; else it and a line end, which nothing joins, are put before it
+            ids = library.encode(unit[1:]) if unit[0] == " " else library.encode("\n" + unit)[2:]
+            return np.array(ids, "<i4").tobytes()
+
         for b in batches:
             if table is None:
                 system, root = fs.FileSystem.from_uri(folder)
@@ -171,20 +206,16 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
                                     flat, off = rows.column("ids").values.to_numpy().astype("<i4"), rows.column("ids").offsets.to_numpy()
                                     raw, off = flat.tobytes(), off * 4
                                     table.update(zip(rows.column("word").to_pylist(), [raw[x:y] for x, y in zip(off[:-1], off[1:])]))
-            for lo in range(0, b.num_rows, 1024):
-                rows = b.slice(lo, 1024)
+            for lo in range(0, b.num_rows, 512):
+                rows = b.slice(lo, 512)
                 out = []
                 for t in rows.column(text).to_pylist():
                     mine = words(t)
-                    try:
-                        out.append(b"".join([table[w] for w in mine]))
-                    except KeyError:
-                        library = library or sentencepiece.SentencePieceProcessor(model_file=path)
-                        short = [w for w in mine if len(w) <= longest and w not in table]
-                        if short:
-                            raise RuntimeError(f"partition {part} was read differently the second time: {short[0]!r}") from None
-                        # the library puts the dummy prefix where the word's first space is
-                        out.append(b"".join([table[w] if len(w) <= longest else np.array(library.encode(w[1:]), "<i4").tobytes() for w in mine]))
+                    for w in {w for w in mine if w not in whole}:
+                        whole[w] = b"".join([table[u] if len(u) <= longest else long(u) for u in cut(w, bridges)])
+                    out.append(b"".join([whole[w] for w in mine]))
+                if len(whole) > 200_000:
+                    whole.clear()
                 off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(out), "<i4")))
                 yield pa.RecordBatch.from_arrays([*rows.select(names).columns, ids], names=[*names, "ids"])

@@ -95,6 +95,14 @@ def words(text: str | None) -> list[str]:
     return re.findall(" +[^ ]*", " " + text) if text else []
 
 
+def keys(text: str | None) -> list[str]:
+    """The words of a text without their first space each."""
+    if not text:
+        return []
+    parts = text.split(" ")
+    return parts if "" not in parts else [w[1:] for w in words(text)]
+
+
 def cut(word: str, bridges: set[str]) -> list[str]:
     """A word, cut between neighbours that no piece holds side by side."""
     out, start, shown = [], 0, word.replace(SPACE, " ")
@@ -134,15 +142,20 @@ def lattice(distinct: DataFrame, pieces: Pieces, word: str = "word") -> DataFram
     edges = edges.select(word, *others, F.col("_e.s").alias("s"), F.col("_e.k").alias("k"), F.col("_e.piece").alias("piece"))
     # a word whose substrings are no pieces keeps its first row, without an edge
     edges = edges.join(table, "piece", "left").where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("k") == 1)))
-    edge = F.when(F.col("id").isNotNull(), F.struct((F.col("s") * 65536 + F.col("s") + F.col("k")).alias("at"), F.struct("id", "score").alias("v")))
-    grouped = edges.groupBy(word).agg(*[F.first(c).alias(c) for c in others], F.map_from_entries(F.collect_list(edge)).alias("_m"))
-    whole = grouped.select(word, *others, "_m", n.alias("n"), F.lit(pieces.longest).alias("_k"))
-    cuts = whole.select(word, *others, "_m", F.expr(_fold(pieces.kind, pieces.least)).alias("_b"))
+    # merges look at edges of two characters and more only; the ids of single ones are read at the end
+    place = F.col("s") * 65536 + F.col("s") + F.col("k")
+    inner = F.col("id").isNotNull() & ((F.col("k") > 1) | F.lit(pieces.kind == UNIGRAM))
+    edge = F.when(inner, F.struct(place.alias("at"), F.struct("id", "score").alias("v")))
+    single = F.when(F.col("id").isNotNull() & (F.col("k") == 1), F.struct("s", "id"))
+    grouped = edges.groupBy(word).agg(*[F.first(c).alias(c) for c in others], F.map_from_entries(F.collect_list(edge)).alias("_m"), F.map_from_entries(F.collect_list(single)).alias("_c"))
+    whole = grouped.select(word, *others, "_m", "_c", n.alias("n"), F.lit(pieces.longest).alias("_k"))
+    cuts = whole.select(word, *others, "_m", "_c", F.expr(_fold(pieces.kind, pieces.least)).alias("_b"))
     if pieces.byte0 >= 0:
         bytes_ = f"transform(regexp_extract_all(hex(encode(replace(substring({word}, _b[i] + 1, _b[i + 1] - _b[i]), ' ', '{SPACE}'), 'UTF-8')), '(..)', 1), x -> cast(conv(x, 16, 10) AS int) + {pieces.byte0})"
     else:
         bytes_ = f"array({pieces.unknown})"
-    ids = f"flatten(transform(sequence(0, size(_b) - 2), i -> CASE WHEN _m[_b[i] * 65536 + _b[i + 1]] IS NOT NULL THEN array(_m[_b[i] * 65536 + _b[i + 1]].id) ELSE {bytes_} END))"
+    one = f"CASE WHEN _c[_b[i]] IS NOT NULL THEN array(_c[_b[i]]) ELSE {bytes_} END"
+    ids = f"flatten(transform(sequence(0, size(_b) - 2), i -> CASE WHEN _b[i + 1] - _b[i] > 1 THEN array(_m[_b[i] * 65536 + _b[i + 1]].id) ELSE {one} END))"
     return cuts.select(word, *others, F.expr(ids).alias("ids"))
 
 
@@ -161,10 +174,13 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
             for lo in range(0, b.num_rows, 512):
                 new = set()
                 for t in b.column(0).slice(lo, 512).to_pylist():
-                    new.update(words(t))
+                    new.update(keys(t))
                 new -= known
-                seen.update(u for w in new for u in cut(w, bridges) if len(u) <= longest)
-                known = known | new if len(known) < 200_000 else new
+                for w in new:
+                    seen.update(u for u in cut(" " + w, bridges) if len(u) <= longest)
+                if len(known) > 200_000:
+                    known.clear()
+                known |= new
         seen = list(seen)
         for lo in range(0, len(seen), 1 << 16):
             w = pa.array(seen[lo: lo + (1 << 16)], pa.string())
@@ -172,10 +188,17 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
         common.trim()
 
     # a word is in each partition once, so its list is no longer than the number of partitions
-    distinct = docs.select(text).mapInArrow(found, "word string, part int").groupBy("word").agg(F.collect_list("part").alias("parts"))
-    known = lattice(distinct, pieces).select("word", "ids", F.explode("parts").alias("part"))
+    # a lattice has some fifty times its word's rows, so the words are dealt out more finely than their size asks for
+    rows = docs.select(text).mapInArrow(found, "word string, part int").repartition(8 * common.shuffle_partitions(spark), "word")
+    known = lattice(rows.groupBy("word").agg(F.collect_list("part").alias("parts")), pieces).select("word", "ids", F.explode("parts").alias("part"))
     folder = common.fresh_path(spark, "pieces")
-    known.repartition("part").write.partitionBy("part").parquet(folder)
+    setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
+    before = spark.conf.get(setting)
+    try:  # such small partitions are grouped in memory; by default a sort takes over at 128 words
+        spark.conf.set(setting, "100000")
+        known.repartition("part").write.partitionBy("part").parquet(folder)
+    finally:
+        spark.conf.set(setting, before)
     names = [c for c in docs.columns if c != "ids"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", ids array<int>"
 
@@ -184,7 +207,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
         from pyarrow import fs
         import pyarrow.parquet as pq
 
-        part, table, whole = TaskContext.get().partitionId(), None, {}
+        part, table, whole = TaskContext.get().partitionId(), None, {}  # whole: ids of words, so that they are cut once
         library = None
 
         def long(unit: str) -> bytes:
@@ -210,15 +233,17 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
                 rows = b.slice(lo, 512)
                 out = []
                 for t in rows.column(text).to_pylist():
-                    mine = words(t)
-                    for w in {w for w in mine if w not in whole}:
-                        whole[w] = b"".join([table[u] if len(u) <= longest else long(u) for u in cut(w, bridges)])
+                    mine = keys(t)
+                    for w in set(mine).difference(whole):
+                        whole[w] = b"".join([table[u] if len(u) <= longest else long(u) for u in cut(" " + w, bridges)])
                     out.append(b"".join([whole[w] for w in mine]))
                 if len(whole) > 200_000:
                     whole.clear()
                 off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(out), "<i4")))
                 yield pa.RecordBatch.from_arrays([*rows.select(names).columns, ids], names=[*names, "ids"])
+        del table, whole
+        common.trim()
 
     return docs.select(*names).mapInArrow(strung, schema)
 

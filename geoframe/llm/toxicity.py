@@ -4,7 +4,7 @@ A word's input is the sum of its own hashed embedding, those of its first four a
 bytes, and the mean of its characters' trigram embeddings (with the word's edges). Windows
 of WINDOW words, each starting STEP words after the one before, cover the whole text. In
 each window two GRUs run over the words, one from either side; attention pools their states
-and a logistic unit scores the pool. A text scores as its most toxic window does.
+together with the words' inputs, and a logistic unit scores the pool. A text scores as its most toxic window does.
 
 Labels are of whole texts, so training looks for the telling window: in the first round it
 is the one whose features have the largest log-odds in the labelled texts, then the one
@@ -29,7 +29,7 @@ from geoframe.llm import common
 WINDOW, STEP = 24, 12
 WORD_ROWS, EDGE_ROWS, GRAM_ROWS = 1 << 16, 1 << 15, 1 << 15
 DIM, HIDDEN = 12, 8
-MOST = 800
+MOST = 2000
 
 _BREAK = np.ones(256, bool)
 _BREAK[128:] = False
@@ -74,6 +74,31 @@ class Words:
         self.gram = _rows(gram[inside - 1], GRAM_ROWS)
         self.begin, self.size = np.cumsum(size) - size, size
 
+    @staticmethod
+    def joined(texts: list[str], most: int = 1 << 20) -> "Words":
+        """The words of many texts, made from about `most` characters at a time and kept as small integers."""
+        parts, lo = [], 0
+        while lo < len(texts) or not parts:
+            hi, size = lo, 0
+            while hi < len(texts) and (hi == lo or size + len(texts[hi]) < most):
+                size += len(texts[hi])
+                hi += 1
+            w = Words(texts[lo:hi])
+            if w.n:
+                for name in ("word", "four", "five", "gram", "begin", "size"):
+                    setattr(w, name, getattr(w, name).astype(np.int32))
+            parts.append(w)
+            lo = hi
+        out = Words([])
+        full = [w for w in parts if w.n]
+        out.n, out.count = sum(w.n for w in parts), np.concatenate([w.count for w in parts])
+        out.first = np.concatenate([[0], np.cumsum(out.count)[:-1]]).astype(np.int64)
+        for name in ("word", "four", "five", "gram", "size") if full else ():
+            setattr(out, name, np.concatenate([getattr(w, name) for w in full]))
+        if full:
+            out.begin = np.cumsum(out.size, dtype=np.int64) - out.size
+        return out
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """Of each window: the words (row n: none), and its text. Every text has one at least."""
         many = np.maximum(1, -(-(self.count - WINDOW) // STEP) + 1)
@@ -92,23 +117,28 @@ class Model:
         r = np.random.RandomState(seed)
         make = lambda *s: (r.standard_normal(s) * 0.3).astype(np.float32)
         self.p = {"word": make(WORD_ROWS, DIM) * 0.03, "four": make(EDGE_ROWS, DIM) * 0.03, "five": make(EDGE_ROWS, DIM) * 0.03, "gram": make(GRAM_ROWS, DIM) * 0.03,
-                  "att": make(2 * HIDDEN), "out": make(2 * HIDDEN), "bias": np.zeros(1, np.float32)}
+                  "att": make(2 * HIDDEN + DIM) * 0.1, "out": make(2 * HIDDEN + DIM) * 0.1, "bias": np.full(1, -2.5, np.float32)}
+        # a word's first input starts as its log-odds: attention and score start by following it
+        self.p["att"][2 * HIDDEN] = self.p["out"][2 * HIDDEN] = 1.0
         for d in "fb":
             self.p |= {f"x{d}": make(DIM, 3 * HIDDEN), f"h{d}": make(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def inputs(self, w: Words) -> np.ndarray:
+    def inputs(self, w: Words, most: int = 1 << 17) -> np.ndarray:
         """A row per word, and one for no word."""
         p = self.p
         out = np.zeros((w.n + 1, DIM), np.float32)
-        if w.n:
-            grams = np.add.reduceat(p["gram"][w.gram], w.begin, axis=0)
-            out[:-1] = p["word"][w.word] + p["four"][w.four] + p["five"][w.five] + grams / w.size[:, None].astype(np.float32)
+        for lo in range(0, w.n, most):
+            part = slice(lo, min(lo + most, w.n))
+            begin, size = w.begin[part], w.size[part]
+            grams = np.add.reduceat(p["gram"][w.gram[begin[0]: begin[-1] + size[-1]]], begin - begin[0], axis=0)
+            out[part] = p["word"][w.word[part]] + p["four"][w.four[part]] + p["five"][w.five[part]] + grams / size[:, None].astype(np.float32)
         return out
 
     def forward(self, x: np.ndarray, at: np.ndarray, none: int, keep: bool = False):
         """Logits of windows `at` over word inputs x; keep: also what backward() needs."""
         p, n = self.p, len(at)
-        states, tape = np.zeros((n, WINDOW, 2 * HIDDEN), np.float32), {}
+        states, tape = np.empty((n, WINDOW, 2 * HIDDEN + DIM), np.float32), {}
+        states[:, :, 2 * HIDDEN:] = x[at]
         here = at != none
         for d in "fb":
             xs = x @ p[f"x{d}"] + p[f"c{d}"]
@@ -123,7 +153,7 @@ class Model:
                 if keep:
                     tape[d, t] = (h, z, r, c, u[:, 2 * HIDDEN:])
                 h = new
-                states[:, t, slice(0, HIDDEN) if d == "f" else slice(HIDDEN, None)] = h
+                states[:, t, slice(0, HIDDEN) if d == "f" else slice(HIDDEN, 2 * HIDDEN)] = h
         a = np.where(here, states @ p["att"], np.float32(-30))
         a = np.exp(a - a.max(1, keepdims=True))
         a /= a.sum(1, keepdims=True)
@@ -142,12 +172,13 @@ class Model:
         g["att"] = np.einsum("nt,nth->h", d_s, states)
         d_states += d_s[:, :, None] * p["att"]
         d_x = np.zeros_like(x)
+        np.add.at(d_x, at.ravel(), d_states[:, :, 2 * HIDDEN:].reshape(-1, DIM))
         for d in "fb":
             g[f"h{d}"], d_g = np.zeros_like(p[f"h{d}"]), np.zeros((len(at), WINDOW, 3 * HIDDEN), np.float32)
             d_h = np.zeros((len(at), HIDDEN), np.float32)
             for t in reversed(range(WINDOW)) if d == "f" else range(WINDOW):
                 h, z, r, c, u = tape[d, t]
-                d_h = d_h + d_states[:, t, slice(0, HIDDEN) if d == "f" else slice(HIDDEN, None)]
+                d_h = d_h + d_states[:, t, slice(0, HIDDEN) if d == "f" else slice(HIDDEN, 2 * HIDDEN)]
                 on = here[:, t, None]
                 d_new = d_h * on
                 d_z = d_new * (h - c) * z * (1 - z)
@@ -177,14 +208,15 @@ class Model:
 
     def train(self, texts: list[str], toxic: np.ndarray, rounds: int = 8, batch: int = 256) -> None:
         r = np.random.RandomState(1)
-        w = Words(texts)
+        w = Words.joined(texts)
         at, text = w.windows()
+        at = at.astype(np.int32)
         label = toxic[text].astype(np.float32)
         owner = np.repeat(np.arange(len(texts)), w.count)
         rows = {"word": (w.word, WORD_ROWS, owner), "four": (w.four, EDGE_ROWS, owner), "five": (w.five, EDGE_ROWS, owner), "gram": (w.gram, GRAM_ROWS, np.repeat(owner, w.size))}
         score, common_rows = np.zeros(w.n + 1), {}
         for name, (row, size, own) in rows.items():  # log-odds of each feature, by texts that hold it
-            held = np.unique(row * len(texts) + own)
+            held = np.unique(row.astype(np.int64) * len(texts) + own)
             yes = np.bincount(held // len(texts), weights=toxic[held % len(texts)], minlength=size)
             no = np.bincount(held // len(texts), minlength=size) - yes
             odds = np.log((yes + 2) / (toxic.sum() + 4)) - np.log((no + 2) / ((1 - toxic).sum() + 4))
@@ -222,14 +254,28 @@ class Model:
                 g, d_x = self.backward(x, small, kept, d.astype(np.float32))
                 step += 1
                 left = 1 - (step - 1) / (rounds * each)
-                rate = 0.02 * left
+                rate = 0.01 * left
                 for name in g:
                     m, v = moment[name]
                     m += 0.1 * (g[name] - m)
                     v += 0.001 * (g[name] ** 2 - v)
                     self.p[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
                 for name, row, grad in (("word", w.word[sub], d_x[:-1]), ("four", w.four[sub], d_x[:-1]), ("five", w.five[sub], d_x[:-1]), ("gram", w.gram[grams], d_x[:-1][gram_of] * share[gram_of][:, None])):
-                    np.add.at(self.p[name], row, -2.0 * left * grad * common_rows[name][row][:, None])
+                    np.add.at(self.p[name], row, -1.0 * left * grad * common_rows[name][row][:, None])
+
+    def calibrate(self, texts: list[str], toxic: np.ndarray, weight: float = 4.0) -> None:
+        """Move the bias so that 0.5 divides unseen texts best; a clean text that is marked counts `weight` times in its class."""
+        logit = np.concatenate([self.best(texts[k: k + 100])[0] for k in range(0, len(texts), 100)])
+        order = np.argsort(logit)
+        at, bad = logit[order], toxic[order] == 1
+        # by cut: the toxic texts below it, and the clean ones above
+        missed = np.concatenate([[0], np.cumsum(bad)]) / max(1, bad.sum())
+        marked = (np.concatenate([[0], np.cumsum((~bad)[::-1])])[::-1]) / max(1, (~bad).sum())
+        cost = missed + weight * marked
+        best = np.flatnonzero(cost <= cost.min() + 1e-12)
+        edge = np.concatenate([[at[0] - 1], at, [at[-1] + 1]])
+        gap = best[np.argmax(edge[best + 1] - edge[best])]
+        self.p["bias"] = self.p["bias"] - np.float32((edge[gap] + edge[gap + 1]) / 2)
 
     def score(self, texts: list[str]) -> np.ndarray:
         top = self.best(texts)[0].astype(np.float64)
@@ -251,8 +297,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model | None:
     got = got[got["text"].notna() & (got["text"] != "")]
     if got["toxic"].nunique() < 2:
         return None
+    # every fifth text is kept back, to set the threshold on texts that weren't learned
+    texts, toxic, back = list(got["text"]), got["toxic"].to_numpy(np.float64), np.arange(len(got)) % 5 == 4
     model = Model()
-    model.train(list(got["text"]), got["toxic"].to_numpy(np.float64))
+    if len(set(toxic[back])) < 2 or len(set(toxic[~back])) < 2:
+        model.train(texts, toxic)
+        return model
+    model.train([t for t, b in zip(texts, back) if not b], toxic[~back])
+    model.calibrate([t for t, b in zip(texts, back) if b], toxic[back])
     return model
 
 

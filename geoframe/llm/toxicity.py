@@ -29,7 +29,7 @@ from geoframe.llm import common
 WINDOW, STEP = 24, 12
 WORD_ROWS, EDGE_ROWS, GRAM_ROWS = 1 << 16, 1 << 15, 1 << 15
 DIM, HIDDEN = 12, 8
-MOST = 2000
+MOST = 1500
 
 _BREAK = np.ones(256, bool)
 _BREAK[128:] = False
@@ -123,15 +123,24 @@ class Model:
         for d in "fb":
             self.p |= {f"x{d}": make(DIM, 3 * HIDDEN), f"h{d}": make(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
 
-    def inputs(self, w: Words, most: int = 1 << 17) -> np.ndarray:
-        """A row per word, and one for no word."""
-        p = self.p
-        out = np.zeros((w.n + 1, DIM), np.float32)
-        for lo in range(0, w.n, most):
-            part = slice(lo, min(lo + most, w.n))
-            begin, size = w.begin[part], w.size[part]
+    def inputs(self, w: Words, lo: int = 0, hi: int | None = None) -> np.ndarray:
+        """A row per word from lo to hi, and one for no word."""
+        p, hi = self.p, w.n if hi is None else hi
+        out = np.zeros((hi - lo + 1, DIM), np.float32)
+        if hi > lo:
+            begin, size = w.begin[lo:hi], w.size[lo:hi]
             grams = np.add.reduceat(p["gram"][w.gram[begin[0]: begin[-1] + size[-1]]], begin - begin[0], axis=0)
-            out[part] = p["word"][w.word[part]] + p["four"][w.four[part]] + p["five"][w.five[part]] + grams / size[:, None].astype(np.float32)
+            out[:-1] = p["word"][w.word[lo:hi]] + p["four"][w.four[lo:hi]] + p["five"][w.five[lo:hi]] + grams / size[:, None].astype(np.float32)
+        return out
+
+    def logits(self, w: Words, at: np.ndarray, most: int = 4096) -> np.ndarray:
+        """Logits of windows in text order: each run of them needs the inputs of one run of words only."""
+        out = np.empty(len(at), np.float32)
+        for k in range(0, len(at), most):
+            part = at[k: k + most]
+            real = part[part < w.n]
+            lo, hi = (int(real.min()), int(real.max()) + 1) if len(real) else (0, 0)
+            out[k: k + most] = self.forward(self.inputs(w, lo, hi), np.where(part < w.n, part - lo, hi - lo), hi - lo)
         return out
 
     def forward(self, x: np.ndarray, at: np.ndarray, none: int, keep: bool = False):
@@ -196,12 +205,11 @@ class Model:
             d_x += d_xs @ p[f"x{d}"].T
         return g, d_x
 
-    def best(self, texts: list[str], most: int = 1 << 13) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray]:
+    def best(self, texts: list[str]) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray]:
         """Of each text: its highest logit; the words, and the row and words of each window."""
         w = Words(texts)
         at, text = w.windows()
-        x = self.inputs(w)
-        logit = np.concatenate([self.forward(x, at[k: k + most], w.n) for k in range(0, len(at), most)])
+        logit = self.logits(w, at)
         top = np.full(len(texts), -np.inf, np.float32)
         np.maximum.at(top, text, logit)
         return top, w, at, (logit, text)
@@ -212,11 +220,15 @@ class Model:
         at, text = w.windows()
         at = at.astype(np.int32)
         label = toxic[text].astype(np.float32)
-        owner = np.repeat(np.arange(len(texts)), w.count)
+        owner = np.repeat(np.arange(len(texts), dtype=np.int32), w.count)
         rows = {"word": (w.word, WORD_ROWS, owner), "four": (w.four, EDGE_ROWS, owner), "five": (w.five, EDGE_ROWS, owner), "gram": (w.gram, GRAM_ROWS, np.repeat(owner, w.size))}
         score, common_rows = np.zeros(w.n + 1), {}
         for name, (row, size, own) in rows.items():  # log-odds of each feature, by texts that hold it
-            held = np.unique(row.astype(np.int64) * len(texts) + own)
+            kind = np.int32 if size * len(texts) < 1 << 31 else np.int64
+            held = row.astype(kind) * kind(len(texts))
+            held += own.astype(kind)
+            held.sort()
+            held = held[np.concatenate([[True], held[1:] != held[:-1]])]
             yes = np.bincount(held // len(texts), weights=toxic[held % len(texts)], minlength=size)
             no = np.bincount(held // len(texts), minlength=size) - yes
             odds = np.log((yes + 2) / (toxic.sum() + 4)) - np.log((no + 2) / ((1 - toxic).sum() + 4))
@@ -225,13 +237,12 @@ class Model:
             common_rows[name] = (yes + no >= 3).astype(np.float32)  # rarer features would only be learned by heart
             if name != "gram":
                 score[:-1] += np.maximum(odds[row], 0)
-        logit = score[at].max(1)
+        logit = np.concatenate([score[at[k: k + 4096]].max(1) for k in range(0, len(at), 4096)])
         moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
         step, each = 0, max(16, 2 * len(texts) // batch)
         for turn in range(rounds):
             if turn:
-                x = self.inputs(w)
-                logit = np.concatenate([self.forward(x, at[k: k + 8192], w.n) for k in range(0, len(at), 8192)])
+                logit = self.logits(w, at)
             order = np.lexsort((-logit, text))
             top = order[np.concatenate([[True], text[order][1:] != text[order][:-1]])]
             other = np.flatnonzero(label == 0)

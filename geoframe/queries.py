@@ -435,3 +435,19 @@ def top_cells(spark, d):
     p = pts(spark, d).groupBy(F.col("geometry.bbox.xmin").alias("x"), F.col("geometry.bbox.ymin").alias("y")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"))
     top = p.orderBy(F.desc("n"), "x", "y").limit(20)  # the top 20 alone are ranked
     return top.select("*", F.rank().over(Window.orderBy(F.desc("n"), "x", "y")).cast("long").alias("place"))
+
+
+@query(f"WITH {BOXES} SELECT oid + 1 AS oid, name, n, w * h AS area FROM boxes WHERE n >= 2")
+def gdb_scan(spark, d):
+    """The boxes, written to a geodatabase and read back through the data source."""
+    import os
+    import tempfile
+    import uuid
+
+    from geoframe.database import Database
+
+    shared = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()).removeprefix("file://")
+    db = Database.create(spark, os.path.join(shared, f"{uuid.uuid4().hex}.gdb"))
+    db.write_layer(boxes(spark, d).withColumn("oid", F.col("oid") + 1), "boxes", "polygon")
+    got = db["boxes"].read_features(where="n >= 2")
+    return got.select(F.col("OBJECTID").alias("oid"), "name", "n", F.round(N.st_area("geometry"), 4).alias("area"))

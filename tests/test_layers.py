@@ -208,3 +208,28 @@ def test_field_specs():
     assert not SpatialRef() and SpatialRef(102100, 3857).effective_wkid == 3857
     with pytest.raises(FormatError):
         fields([("a", "nope")])
+
+
+def test_database(spark, tmp_path):
+    from geoframe import database
+
+    with database.Database.create(spark, str(tmp_path / "a.gdb")) as db:
+        empty = db.create_layer("empty", [("A", "long"), {"name": "B", "type": "text"}], "point")
+        assert empty.df.count() == 0 and empty.geometry == "geometry" and db.metadata("EMPTY")["geometry_type"] == 1
+        b = queries.boxes(spark, SF).withColumn("oid", F.col("oid") + 1)
+        db.write_layer(b, "boxes", "polygon")
+        assert list(db) == ["empty", "boxes"] and "Boxes" in db and len(db) == 2 and db.list_tables() == [] and db.list_feature_classes() == ["empty", "boxes"]
+        layer = db["boxes"]
+        assert layer.read_feature(5).count() == 1 and layer.read_features(where="n = 1", fields=["n"]).columns == ["OBJECTID", "n", "geometry"]
+        assert database.out_of_range(layer, 4326) == 3 and database.out_of_range(layer, 3857) == 200
+        code = database.main([db.path, "boxes", str(tmp_path / "b.gdb"), "3857", "moved", "--where", "n = 1", "--quiet"])
+        moved = database.Database(spark, str(tmp_path / "b.gdb"))["moved"]
+        assert code == 0 and moved.df.count() == layer.read_features(where="n = 1").count()
+        back = moved.df.select(V.st_transform("geometry", 3857, 4326)["bbox"].alias("b")).agg(F.max("b.xmax").alias("x")).first()["x"]
+        want = layer.read_features(where="n = 1").agg(F.max("geometry.bbox.xmax").alias("x")).first()["x"]
+        assert back == pytest.approx(want, abs=1e-5)
+        assert database.main([db.path, "nope", str(tmp_path / "b.gdb"), "3857"]) == 1
+        assert layer.df.limit(1).select(database.ewkt("geometry", 4326).alias("t")).first()["t"].startswith("SRID=4326;POLYGON ((")
+        assert database.CONSTANTS["FGFT_DOUBLE"] == 3 and database.CONSTANTS["FGTGT_POLYGON"] == 4
+        db.delete_layer("boxes")
+        assert db.list_layers() == ["empty"]

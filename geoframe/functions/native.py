@@ -140,13 +140,22 @@ def st_segmentize(g: str, longest: float) -> Column:
     return F.when(F.col(f"{g}.kind").isin("polyline", "polygon"), F.col(g).withField("parts", F.expr(parts))).otherwise(F.col(g))
 
 
-def st_contains_point(g: str, x: Column, y: Column) -> Column:
-    """Where a point lies: 0 inside, 1 on the boundary, 2 outside a polygon (rings by parity, boundary first)."""
+def st_is_box(g: str) -> Column:
+    """Whether a polygon is its own envelope: one ring of four vertices, with the envelope's area."""
+    b = f"{g}.bbox"
+    return F.expr(f"{g}.kind = 'polygon' AND size({g}.parts) = 1 AND size({g}.parts[0].x) = 4 AND abs(transform({g}.parts, p -> {_area2('p')})[0]) = 2 * ({b}.xmax - {b}.xmin) * ({b}.ymax - {b}.ymin)")
+
+
+def st_contains_point(g: str, x: Column, y: Column, box: str = "false") -> Column:
+    """Where the point (_px, _py) lies: 0 inside, 1 on the boundary, 2 outside a polygon (rings by parity, boundary first).
+
+    box: a column that holds st_is_box of the polygon, made once for each before a join; then the envelope decides."""
     n, j = "size(p.x)", "((i + 1) % size(p.x))"
     ax, ay, bx, by = "p.x[i]", "p.y[i]", f"p.x[{j}]", f"p.y[{j}]"
     on = f"exists(sequence(0, {n} - 1), i -> ({bx} - {ax}) * (_py - {ay}) - ({by} - {ay}) * (_px - {ax}) = 0 AND _px BETWEEN least({ax}, {bx}) AND greatest({ax}, {bx}) AND _py BETWEEN least({ay}, {by}) AND greatest({ay}, {by}))"
     odd = f"aggregate(sequence(0, {n} - 1), 0, (c, i) -> c + CASE WHEN ({ay} > _py) <> ({by} > _py) AND _px < {ax} + (_py - {ay}) / ({by} - {ay}) * ({bx} - {ax}) THEN 1 ELSE 0 END)"
-    sql = f"CASE WHEN exists({g}.parts, p -> {on}) THEN 1 WHEN aggregate({g}.parts, 0, (c, p) -> c + {odd}) % 2 = 1 THEN 0 ELSE 2 END"
+    # the planner may move this test ahead of a join's own conditions, so it starts with the cheap answer itself
+    sql = f"CASE WHEN _px < {g}.bbox.xmin OR _px > {g}.bbox.xmax OR _py < {g}.bbox.ymin OR _py > {g}.bbox.ymax THEN 2 WHEN {box} THEN CASE WHEN _px > {g}.bbox.xmin AND _px < {g}.bbox.xmax AND _py > {g}.bbox.ymin AND _py < {g}.bbox.ymax THEN 0 ELSE 1 END WHEN exists({g}.parts, p -> {on}) THEN 1 WHEN aggregate({g}.parts, 0, (c, p) -> c + {odd}) % 2 = 1 THEN 0 ELSE 2 END"
     return F.expr(sql.replace("_px", f"({x})").replace("_py", f"({y})")) if isinstance(x, str) else F.expr(sql)
 
 

@@ -255,18 +255,18 @@ def crosses_line_box(spark, d):
 
 @query(f"WITH {SBOX}, {PTS} SELECT s.oid AS box, p.oid AS point, CASE WHEN p.x > s.x0 AND p.x < s.x0 + s.w AND p.y > s.y0 AND p.y < s.y0 + s.h THEN 0 ELSE 1 END AS place FROM sbox s JOIN pts p ON p.x BETWEEN s.x0 AND s.x0 + s.w AND p.y BETWEEN s.y0 AND s.y0 + s.h")
 def point_in_box(spark, d):
-    s = sbox(spark, d).select(F.col("oid").alias("box"), F.col("geometry").alias("ga"))
+    s = sbox(spark, d).select(F.col("oid").alias("box"), F.col("geometry").alias("ga"), N.st_is_box("geometry").alias("is_box"))
     p = pts(spark, d).select(F.col("oid").alias("point"), F.col("geometry").alias("gb"))
-    j = spatial_join(s, p, "ga", "gb", 8.0).withColumns({"_px": F.col("gb.bbox.xmin"), "_py": F.col("gb.bbox.ymin")})
-    return j.select("box", "point", N.st_contains_point("ga", F.col("_px"), F.col("_py")).alias("place")).where("place < 2")
+    j = spatial_join(s, p, "ga", "gb", 4.0).withColumns({"_px": F.col("gb.bbox.xmin"), "_py": F.col("gb.bbox.ymin")})
+    return j.select("box", "point", N.st_contains_point("ga", F.col("_px"), F.col("_py"), "is_box").alias("place")).where("place < 2")
 
 
 @query(f"WITH {BOXES}, {PTS} SELECT b.oid, count(*) AS n, round(sum(p.value), 4) AS total FROM boxes b JOIN pts p ON p.x BETWEEN b.x0 AND b.x0 + b.w AND p.y BETWEEN b.y0 AND b.y0 + b.h GROUP BY b.oid")
 def spatial_join_count(spark, d):
-    b = boxes(spark, d).select("oid", F.col("geometry").alias("ga"))
+    b = boxes(spark, d).select("oid", F.col("geometry").alias("ga"), N.st_is_box("geometry").alias("is_box"))
     p = pts(spark, d).select("value", F.col("geometry").alias("gb"))
-    j = spatial_join(b, p, "ga", "gb", 8.0).withColumns({"_px": F.col("gb.bbox.xmin"), "_py": F.col("gb.bbox.ymin")})
-    return j.where(N.st_contains_point("ga", F.col("_px"), F.col("_py")) < 2).groupBy("oid").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    j = spatial_join(b, p, "ga", "gb", 2.0).withColumns({"_px": F.col("gb.bbox.xmin"), "_py": F.col("gb.bbox.ymin")})
+    return j.where(N.st_contains_point("ga", F.col("_px"), F.col("_py"), "is_box") < 2).groupBy("oid").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
 @query(f"WITH {BOXES}, {SBOX} SELECT s.oid FROM sbox s WHERE EXISTS (SELECT 1 FROM boxes b WHERE b.x0 <= s.x0 + s.w AND b.x0 + b.w >= s.x0 AND b.y0 <= s.y0 + s.h AND b.y0 + b.h >= s.y0 AND b.oid % 40 = 0)")

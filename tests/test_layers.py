@@ -233,3 +233,12 @@ def test_database(spark, tmp_path):
         assert database.CONSTANTS["FGFT_DOUBLE"] == 3 and database.CONSTANTS["FGTGT_POLYGON"] == 4
         db.delete_layer("boxes")
         assert db.list_layers() == ["empty"]
+
+
+def test_point_in_polygon(spark):
+    df = spark.createDataFrame([("POLYGON((0 0,10 0,10 10,0 10,0 0),(4 4,6 4,6 6,4 6,4 4))",), ("POLYGON((0 0,10 0,0 10,0 0))",), ("POLYGON((0 0,10 0,10 10,0 10,0 0))",)], "w string")
+    df = df.select(V.st_geom_from_text("w").alias("g")).withColumn("is_box", N.st_is_box("g"))
+    spots = [(1.0, 1.0), (5.0, 5.0), (4.0, 5.0), (5.0, 0.0), (9.0, 9.0), (11.0, 1.0), (0.0, 0.0)]
+    got = [[r[0] for r in df.withColumns({"_px": F.lit(x), "_py": F.lit(y)}).select(N.st_contains_point("g", F.col("_px"), F.col("_py"), "is_box")).collect()] for x, y in spots]
+    assert got == [[0, 0, 0], [2, 1, 0], [1, 0, 0], [1, 1, 1], [0, 2, 0], [2, 2, 2], [1, 1, 1]]
+    assert [r["is_box"] for r in df.select("is_box").collect()] == [False, False, True]

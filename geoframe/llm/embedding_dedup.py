@@ -116,8 +116,8 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, width: float = WIDTH
     coded = common.written(common.few_files(coded, common.size_in_bytes(vectors)), "codes")
 
     groups = coded.groupBy("label", "d").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    # a label may hold a third of all rows: labels of several blocks are few (rows / block at most) and are broadcast, the rest have one
-    several = F.broadcast(groups.where("blocks > 1"))
+    # a label may hold a third of all rows; the planner broadcasts the labels of several blocks if they are few, or splits the skewed join
+    several = groups.where("blocks > 1")
     placed = coded.join(several, ["label", "d"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", "h1"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("t", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(own, x) AS i, greatest(own, x) AS j))")))

@@ -71,7 +71,7 @@ def as_text(a: str) -> Column:
     return F.expr(f"array_join(transform({a}, x -> lpad(lower(hex(x)), 8, '0')), '')")
 
 
-def followed(docs: DataFrame, text: str, carried: list[str], each: int = 4 << 20) -> DataFrame:
+def followed(docs: DataFrame, text: str, carried: list[str], each: int = 32 << 20) -> DataFrame:
     """docs with next_<column> for text and the carried columns: those of the document after, by _rank."""
     spark = docs.sparkSession
     wanted = max(4 * common.shuffle_partitions(spark), common.size_in_bytes(docs) // each)
@@ -88,7 +88,7 @@ def followed(docs: DataFrame, text: str, carried: list[str], each: int = 4 << 20
     within = F.when(high > low, F.floor((F.col("_rank").cast("double") - low) / (high - low) * fine)).otherwise(0)
     docs = docs.withColumn("_range", (F.col("_c") * F.lit(fine + 1) + F.greatest(F.lit(0), F.least(F.lit(fine), within))).cast("long")).drop("_c")
     firsts = sorted((r["_range"], r["id"]) for r in docs.groupBy("_range").agg(F.min("_rank").alias("id")).collect())
-    # a row per range, at most (fine + 1) * coarse of them: the range before, where the first is a guest
+    # a row of two numbers per range (one for 32 MB of input, some MB of rows for 100 TB): the range before, where the first is a guest
     guests = spark.createDataFrame([(i, firsts[k - 1][0]) for k, (_, i) in enumerate(firsts)], "_first long, _before long")
     docs = docs.join(F.broadcast(guests), F.col("_rank") == F.col("_first"), "left")
     at = F.array(F.struct(F.lit(0).alias("guest"), F.col("_range").alias("at")))

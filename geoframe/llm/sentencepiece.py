@@ -86,7 +86,6 @@ class Pieces:
         bad = [p for p, _, _ in self.rows if re.search(f"[^{SPACE}]{SPACE}", p)]
         if bad:
             raise ValueError(f"pieces span words: {bad[:3]}")
-        self.bridges = {p[k: k + 2].replace(SPACE, " ") for p, _, _ in self.rows for k in range(len(p) - 1)}
         self.text = [b"" if sp.is_control(i) else bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if i == self.unknown else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
 
 
@@ -103,14 +102,71 @@ def keys(text: str | None) -> list[str]:
     return parts if "" not in parts else [w[1:] for w in words(text)]
 
 
-def cut(word: str, bridges: set[str]) -> list[str]:
-    """A word, cut between neighbours that no piece holds side by side."""
-    out, start, shown = [], 0, word.replace(SPACE, " ")
-    for k in range(1, len(word)):
-        if shown[k - 1: k + 1] not in bridges:
-            out.append(word[start:k])
-            start = k
-    return [*out, word[start:]]
+class Grams:
+    """Which neighbours occur in pieces: what holds others is no piece, so it needn't be looked up."""
+
+    END, CUT = 0xD800, 0xD801  # no text holds surrogates
+
+    def __init__(self, rows: list[tuple]):
+        names = [p for p, *_ in rows]
+        self.chars = np.array(sorted({ord(c) for p in names if len(p) > 1 for c in p}), np.uint32)
+        longest: list[dict[int, int]] = [{}, {}, {}]  # of pairs, threes and fours: the longest piece that starts with them
+        code = {chr(c): i + 1 for i, c in enumerate(self.chars)}
+        for p in names:
+            c = [code.get(x, 0) for x in p]
+            for q, known in zip((2, 3, 4), longest):
+                for k in range(len(c) - q + 1):
+                    key = 0
+                    for x in c[k: k + q]:
+                        key = key << 16 | x
+                    known[key] = max(known.get(key, 0), 0 if k else len(c))
+        self.known = [np.array(sorted(x), np.uint64) for x in longest]
+        self.longest = np.array([longest[2][int(x)] for x in self.known[2]], np.int64)
+
+    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Characters, each word with END after it, and their numbers (0: in no piece of two or more)."""
+        text = np.frombuffer(("".join([w + "\ud800" for w in words])).encode("utf-32-le", "surrogatepass"), "<u4")
+        shown = np.where(text == 32, ord(SPACE), text)
+        at = np.minimum(np.searchsorted(self.chars, shown), max(len(self.chars) - 1, 0))
+        return text, np.where(self.chars[at] == shown, at + 1, 0).astype(np.uint64) if len(self.chars) else np.zeros(len(text), np.uint64)
+
+    def held(self, number: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """Whether q characters from each place on stand so in a piece, and where in the list."""
+        known, key = self.known[q - 2], np.zeros(len(number), np.uint64)
+        for k in range(q):
+            key <<= np.uint64(16)
+            key[: max(len(number) - k, 0)] |= number[k:]
+        key[max(len(number) - q + 1, 0):] = 0
+        at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+        return (known[at] == key) if len(known) else np.zeros(len(number), bool), at
+
+    def cut(self, words: list[str]) -> list[list[str]]:
+        """Words, cut between neighbours that no piece holds side by side."""
+        if not words:
+            return []
+        text, number = self.codes(words)
+        apart = ~self.held(number, 2)[0][:-1] & (text[:-1] != self.END) & (text[1:] != self.END)
+        told = np.insert(text, np.flatnonzero(apart) + 1, self.CUT).tobytes().decode("utf-32-le", "surrogatepass")
+        return [w.split("\ud801") for w in told.split("\ud800")[:-1]]
+
+    def spots(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """start * 65536 + length of the substrings that may be pieces, and each word's place in that list.
+
+        A substring of four or more is kept if all its fours stand in pieces and a piece
+        of its length starts with its first four; single characters always."""
+        text, number = self.codes(words)
+        size = len(text)
+        two, three, (four, at) = self.held(number, 2)[0], self.held(number, 3)[0], self.held(number, 4)
+        place = np.arange(size)
+        stop = np.minimum.accumulate(np.where(four, size, place)[::-1])[::-1]  # the next place without a known four
+        far = np.minimum(stop - place + 3, self.longest[at] if len(self.longest) else 0)
+        ends = text == self.END
+        reach = np.where(ends, 0, np.where(~two, 1, np.where(~three, 2, np.where(~four, 3, np.maximum(far, 3)))))
+        first = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
+        start = place - np.repeat(first, np.diff(np.concatenate([first, [size]])))
+        before = np.cumsum(reach) - reach
+        length = np.arange(int(reach.sum())) - np.repeat(before, reach) + 1
+        return (np.repeat(start, reach) * 65536 + length).astype(np.int32), np.concatenate([before[first], [int(reach.sum())]]).astype(np.int32)
 
 
 def _fold(kind: int, least: float) -> str:
@@ -130,43 +186,87 @@ def _fold(kind: int, least: float) -> str:
     return f"filter(aggregate(sequence(1, greatest(n - 1, 1)), sequence(0, n), (b, _) -> CASE WHEN b[0] < 0 OR size(b) < 3 THEN b ELSE transform(array({pairs}), c -> {merge})[0] END), x -> x >= 0)"
 
 
+#: An edge of a BPE lattice in one number, so that edges sort as merges do: rank, start (6 bits), length (6 bits), id (22 bits).
+_START, _SPAN = "cast(shiftright(v, 28) & 63 AS int)", "cast(shiftright(v, 22) & 63 AS int)"
+_BIT = f"shiftleft(1L, {_SPAN})"
+
+
+def _window(cuts: str) -> str:
+    """The cuts (bits of a number) from the start of edge v to its end."""
+    return f"shiftright({cuts}, {_START}) & (shiftleft(2L, {_SPAN}) - 1)"
+
+
+def _one_pass() -> str:
+    """SQL that takes the edges in the order of their merges, once, and returns the cuts that stay; -1 if that can't tell.
+
+    An edge whose ends are cuts with one cut between them is merged now. If an end is gone
+    it never can be. If there are more cuts between, it may become possible later, out of
+    order: such words (hardly any, as pieces are made of earlier ones) are replayed merge by merge."""
+    step = f"transform(array({_window('c')}), w -> CASE WHEN w < {_BIT} OR bit_count(w) < 3 THEN c WHEN bit_count(w) = 3 THEN c - shiftleft(w - 1 - {_BIT}, {_START}) ELSE -1L END)[0]"
+    return f"aggregate(_e, shiftleft(2L, n) - 1, (c, v) -> CASE WHEN c < 0 OR v & {63 << 22} = {1 << 22} OR shiftright(c, {_START}) & 1 = 0 THEN c ELSE {step} END)"
+
+
+def _spelt(pieces: "Pieces", word: str, cuts: str) -> str:
+    """SQL that turns the cuts of a word into ids, by the map _m."""
+    part = f"{cuts}[i]", f"{cuts}[i + 1]"
+    if pieces.byte0 >= 0:
+        other = f"transform(regexp_extract_all(hex(encode(replace(substring({word}, {part[0]} + 1, {part[1]} - {part[0]}), ' ', '{SPACE}'), 'UTF-8')), '(..)', 1), x -> cast(conv(x, 16, 10) AS int) + {pieces.byte0})"
+    else:
+        other = f"array({pieces.unknown})"
+    edge = f"_m[{part[0]} * 65536 + {part[1]}]"
+    return f"flatten(transform(sequence(0, size({cuts}) - 2), i -> CASE WHEN {edge} IS NOT NULL THEN array({edge}.id) ELSE {other} END))"
+
+
 def lattice(distinct: DataFrame, pieces: Pieces, word: str = "word") -> DataFrame:
     """distinct (already dealt out by `word`, a row per word) with ids: array<int>."""
     spark = distinct.sparkSession
     others = [c for c in distinct.columns if c != word]
-    table = F.broadcast(spark.createDataFrame(pieces.rows, "piece string, id int, score double"))  # as many rows as the model has
+    order = {v: r for r, v in enumerate(sorted({v for _, _, v in pieces.rows}, reverse=True))}  # the best score's rank is 0
+    table = F.broadcast(spark.createDataFrame([(*row, order[row[2]]) for row in pieces.rows], "_piece string, _id int, score double, rank int").withColumn("_h", F.xxhash64("_piece")))  # as many rows as the model has
     shown = F.regexp_replace(F.col(word), " ", SPACE)
     n = F.length(word)
-    spots = F.expr(f"flatten(transform(sequence(0, length({word}) - 1), s -> transform(sequence(1, least({pieces.longest}, length({word}) - s)), k -> named_struct('s', s, 'k', k, 'piece', substring(_w, s + 1, k)))))")
-    edges = distinct.select(word, *others, shown.alias("_w")).select(word, *others, F.explode(spots).alias("_e"))
-    edges = edges.select(word, *others, F.col("_e.s").alias("s"), F.col("_e.k").alias("k"), F.col("_e.piece").alias("piece"))
-    # a word whose substrings are no pieces keeps its first row, without an edge
-    edges = edges.join(table, "piece", "left").where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("k") == 1)))
-    # merges look at edges of two characters and more only; the ids of single ones are read at the end
-    place = F.col("s") * 65536 + F.col("s") + F.col("k")
-    inner = F.col("id").isNotNull() & ((F.col("k") > 1) | F.lit(pieces.kind == UNIGRAM))
-    edge = F.when(inner, F.struct(place.alias("at"), F.struct("id", "score").alias("v")))
-    single = F.when(F.col("id").isNotNull() & (F.col("k") == 1), F.struct("s", "id"))
-    grouped = edges.groupBy(word).agg(*[F.first(c).alias(c) for c in others], F.map_from_entries(F.collect_list(edge)).alias("_m"), F.map_from_entries(F.collect_list(single)).alias("_c"))
-    whole = grouped.select(word, *others, "_m", "_c", n.alias("n"), F.lit(pieces.longest).alias("_k"))
-    cuts = whole.select(word, *others, "_m", "_c", F.expr(_fold(pieces.kind, pieces.least)).alias("_b"))
-    if pieces.byte0 >= 0:
-        bytes_ = f"transform(regexp_extract_all(hex(encode(replace(substring({word}, _b[i] + 1, _b[i + 1] - _b[i]), ' ', '{SPACE}'), 'UTF-8')), '(..)', 1), x -> cast(conv(x, 16, 10) AS int) + {pieces.byte0})"
-    else:
-        bytes_ = f"array({pieces.unknown})"
-    one = f"CASE WHEN _c[_b[i]] IS NOT NULL THEN array(_c[_b[i]]) ELSE {bytes_} END"
-    ids = f"flatten(transform(sequence(0, size(_b) - 2), i -> CASE WHEN _b[i + 1] - _b[i] > 1 THEN array(_m[_b[i] * 65536 + _b[i + 1]].id) ELSE {one} END))"
-    return cuts.select(word, *others, F.expr(ids).alias("ids"))
-
+    grams = Grams(pieces.rows)
 
-def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGEST) -> DataFrame:
-    """docs with ids: array<int>. docs must come straight from files or be written first: its partitions are read twice."""
+    def spotted(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 4096):
+                part = b.slice(lo, 4096)
+                flat, off = grams.spots(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=[*part.schema.names, "_x"])
+
+    # where substrings start and how long they are, in one number: the strings themselves are cut in generated code
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.select(word, *others).schema)
+    edges = distinct.select(word, *others).mapInArrow(spotted, schema + ", _x array<int>").select(word, *others, shown.alias("_w"), F.explode("_x").alias("_x"))
+    s, k = F.shiftright("_x", 16), F.col("_x").bitwiseAND(65535)
+    edges = edges.select(word, *others, s.alias("s"), k.alias("k"), F.col("_w").substr(s + 1, k).alias("piece"))
+    # the join's key is a number, which is found faster; the strings are compared where it is found
+    edges = edges.join(table, F.xxhash64("piece") == F.col("_h"), "left").withColumn("id", F.when(F.col("piece") == F.col("_piece"), F.col("_id")))
+    # a word whose substrings are no pieces keeps its first row, without an edge
+    edges = edges.where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("k") == 1)))
+    held = [F.first(c).alias(c) for c in others]
+    if pieces.kind == UNIGRAM:
+        edge = F.when(F.col("id").isNotNull(), F.struct((F.col("s") * 65536 + F.col("s") + F.col("k")).alias("at"), F.struct("id", "score").alias("v")))
+        whole = edges.groupBy(word).agg(*held, F.map_from_entries(F.collect_list(edge)).alias("_m")).select(word, *others, "_m", n.alias("n"), F.lit(pieces.longest).alias("_k"))
+        return whole.select(word, *others, "_m", F.expr(_fold(pieces.kind, pieces.least)).alias("_b")).select(word, *others, F.expr(_spelt(pieces, word, "_b")).alias("ids"))
+    edge = F.expr("shiftleft(cast(rank AS bigint), 34) + shiftleft(cast(s AS bigint), 28) + shiftleft(cast(k AS bigint), 22) + id")
+    whole = edges.groupBy(word).agg(*held, F.sort_array(F.collect_list(edge)).alias("_e")).select(word, *others, "_e", n.alias("n"))
+    kept = whole.select(word, *others, "_e", "n", F.expr(_one_pass()).alias("_p"))
+    formed = f"filter(_e, v -> _p > 0 AND shiftright(_p, {_START}) & 1 = 1 AND {_window('_p')} = {_BIT} + 1)"
+    kept = kept.select(word, *others, "_e", "n", "_p", F.expr(f"sort_array(transform({formed}, v -> v & {(1 << 34) - 1}))").alias("_f"))
+    entries = f"transform(_e, v -> named_struct('at', {_START} * 65536 + {_START} + {_SPAN}, 'v', named_struct('id', cast(v & {(1 << 22) - 1} AS int), 'score', -cast(shiftright(v, 34) AS double))))"
+    replayed = f"transform(array(map_from_entries({entries})), _m -> transform(array({_fold(BPE, 0.0)}), _b -> {_spelt(pieces, word, '_b')})[0])[0]"
+    return kept.select(word, *others, F.expr(f"CASE WHEN size(_f) = bit_count(_p) - 1 AND _p > 0 THEN transform(_f, v -> cast(v & {(1 << 22) - 1} AS int)) ELSE {replayed} END").alias("ids"))
+
+
+def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGEST, decoded: str | None = None) -> DataFrame:
+    """docs with ids: array<int>, and what they spell in column `decoded`, if it's named. docs must come straight from files or be written first: its partitions are read twice."""
     spark = docs.sparkSession
     pieces = Pieces(path)
 
-    bridges = pieces.bridges
-    if any("\n" in x for x in bridges):
+    if any("\n" in p for p, *_ in pieces.rows):
         raise ValueError("pieces that hold line ends aren't supported")
+    grams = Grams(pieces.rows)
+    spelt = pieces.text if decoded else None
 
     def found(batches):
         part, known, seen = TaskContext.get().partitionId(), set(), set()
@@ -176,12 +276,12 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
                 for t in b.column(0).slice(lo, 512).to_pylist():
                     new.update(keys(t))
                 new -= known
-                for w in new:
-                    seen.update(u for u in cut(" " + w, bridges) if len(u) <= longest)
+                for units in grams.cut([" " + w for w in new]):
+                    seen.update(units)
                 if len(known) > 200_000:
                     known.clear()
                 known |= new
-        seen = list(seen)
+        seen = [u for u in seen if len(u) <= longest]
         for lo in range(0, len(seen), 1 << 16):
             w = pa.array(seen[lo: lo + (1 << 16)], pa.string())
             yield pa.RecordBatch.from_arrays([w, pa.array(np.full(len(w), part, np.int32))], names=["word", "part"])
@@ -199,8 +299,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
         known.repartition("part").write.partitionBy("part").parquet(folder)
     finally:
         spark.conf.set(setting, before)
-    names = [c for c in docs.columns if c != "ids"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", ids array<int>"
+    names = [c for c in docs.columns if c not in ("ids", decoded)]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", ids array<int>" + (f", `{decoded}` string" if decoded else "")
 
     def strung(batches):
         import sentencepiece
@@ -208,7 +308,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
         import pyarrow.parquet as pq
 
         part, table, whole = TaskContext.get().partitionId(), None, {}  # whole: ids of words, so that they are cut once
-        library = None
+        library, spelling = None, np.array([*spelt], object) if decoded else None
 
         def long(unit: str) -> bytes:
             nonlocal library
@@ -231,23 +331,30 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
                                     table.update(zip(rows.column("word").to_pylist(), [raw[x:y] for x, y in zip(off[:-1], off[1:])]))
             for lo in range(0, b.num_rows, 512):
                 rows = b.slice(lo, 512)
-                out = []
-                for t in rows.column(text).to_pylist():
-                    mine = keys(t)
-                    for w in set(mine).difference(whole):
-                        whole[w] = b"".join([table[u] if len(u) <= longest else long(u) for u in cut(" " + w, bridges)])
-                    out.append(b"".join([whole[w] for w in mine]))
+                parts = [keys(t) for t in rows.column(text).to_pylist()]
+                new = list(set().union(*parts).difference(whole))
+                for w, units in zip(new, grams.cut([" " + w for w in new])):
+                    whole[w] = b"".join([table[u] if len(u) <= longest else long(u) for u in units])
+                out = [b"".join([whole[w] for w in mine]) for mine in parts]
+                del parts, new
                 if len(whole) > 200_000:
                     whole.clear()
                 off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(out), "<i4")))
-                yield pa.RecordBatch.from_arrays([*rows.select(names).columns, ids], names=[*names, "ids"])
+                more = [_told(ids, spelling)] if decoded else []
+                yield pa.RecordBatch.from_arrays([*rows.select(names).columns, ids, *more], names=[*names, "ids", *([decoded] if decoded else [])])
         del table, whole
         common.trim()
 
     return docs.select(*names).mapInArrow(strung, schema)
 
 
+def _told(ids: pa.ListArray, spelling: np.ndarray) -> pa.Array:
+    """What ids spell; null where they are null."""
+    off, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+    return pa.array([None if null else b"".join(spelling[flat[x:y]]).decode("utf-8", "replace").removeprefix(" ") for x, y, null in zip(off[:-1], off[1:], ids.is_null().to_pylist())], pa.string())
+
+
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with the text that ids spell, without the dummy prefix; invalid bytes become U+FFFD."""
     names = [c for c in rows.columns if c != out]
@@ -260,10 +367,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
         for b in batches:
             for lo in range(0, b.num_rows, 1024):
                 part = b.slice(lo, 1024)
-                column = part.column(ids)
-                off, flat = column.offsets.to_numpy(), text[column.values.to_numpy()]
-                told = [None if null else b"".join(flat[x:y]).decode("utf-8", "replace").removeprefix(" ") for x, y, null in zip(off[:-1], off[1:], column.is_null().to_pylist())]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(told, pa.string())], names=[*names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, _told(part.column(ids), text)], names=[*names, out])
 
     return rows.select(*names).mapInArrow(run, schema)
 
@@ -276,5 +380,5 @@ def model_path() -> str:
 
 def op4_sentencepiece(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    told = decode(encode(docs, model_path()), model_path())
+    told = encode(docs, model_path(), decoded="decoded")
     return told.select("doc_id", "ids", F.size("ids").alias("n_ids"), F.coalesce(F.col("decoded") == F.col("text"), F.lit(True)).alias("round_trip"))

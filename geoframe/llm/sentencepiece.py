@@ -11,7 +11,7 @@ looks up the words it holds in a table written for it, and strings their ids tog
 The fold follows the model's own type. A unigram model takes the best path (Viterbi: the
 best score at each place, from the edges that end there). A BPE model isn't a best path: it
 merges neighbours, best piece first, leftmost first among equals; the fold then
-replays the merges over the same edges. Characters without a piece become byte pieces (or the unknown
+takes the edges in the order of their merges, or replays merge by merge where that order can't tell. Characters without a piece become byte pieces (or the unknown
 id, if the model has no byte pieces).
 
 Words of more than `longest` characters are encoded by the sentencepiece library itself in the
@@ -265,6 +265,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
 
     if any("\n" in p for p, *_ in pieces.rows):
         raise ValueError("pieces that hold line ends aren't supported")
+    if longest > 62:
+        raise ValueError("cuts are bits of a number: words of more than 62 characters go to the library")
     grams = Grams(pieces.rows)
     spelt = pieces.text if decoded else None
 

@@ -185,6 +185,15 @@ def test_unigram_fold_is_the_best_path(spark):
     assert {g["word"]: list(g["ids"]) for g in got} == {w: best(w) for w in words}
 
 
+def test_merges_out_of_order_are_replayed(spark):
+    class Pieces:  # "abc" comes first, but only "bc" makes it possible
+        kind, rows, unknown, byte0, longest, least = sentencepiece.BPE, [("abc", 3, 0.0), ("bc", 4, -1.0), ("a", 5, -9.0), ("b", 6, -9.0), ("c", 7, -9.0), ("▁", 8, -9.0)], 0, -1, 3, -9.0
+
+    want = {"abc": [3], " abc": [8, 3], "cbc": [7, 4], "x": [0], "b": [6], "xbc": [0, 4]}
+    got = sentencepiece.lattice(spark.createDataFrame([(w,) for w in want], "word string").repartition(2, "word"), Pieces).collect()
+    assert {g["word"]: list(g["ids"]) for g in got} == want
+
+
 # -- 5
 
 

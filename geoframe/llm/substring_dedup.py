@@ -1,11 +1,15 @@
 """Substring dedup by hashes of lines and of the passages within them.
 
 A text is cut into units: at line ends, after sentence ends, and before words with a capital
-initial, so that a passage that was pasted into a line starts and ends at a cut.
+initial, so that a passage that was pasted into a line starts and ends at a cut. Scripts
+without spaces are cut at their own marks, and their characters count as parts of words.
 Units are normalised (case, white space and edge punctuation) and hashed to 128 bits.
+Shorter units than `unit_words` are hashed together with those that follow: of several in
+a row (capitals, title case, lists), each starts a window of twice `unit_words` or more.
 Of each digest the occurrence with the least (doc_id, offset) stays. A run of units that
-all have an earlier occurrence is removed if its units of at least `unit_words` words
-hold `run_words` words or more; shorter runs, such as a licence notice, stay.
+all have an earlier occurrence is removed if it holds `run_words` words or more; shorter
+runs, such as a licence notice, stay. Less than `unit_words` words between two longer units
+are in no digest: they go if both sides do.
 Removed spans are kept as [start, end) in code points of the original text.
 
 Edge cases: null and empty texts have no units and stay as they are. Rows with equal doc_id
@@ -25,32 +29,74 @@ from geoframe.llm import common
 
 RUN_WORDS = 25
 UNIT_WORDS = 4
-#: Cuts: after a line end; after a sentence's end and space; before a capital after a space.
-CUT = re.compile(r"(?<=\n)|(?<=[.!?] )|(?<= )(?=[A-ZÀ-ÖØ-ÞА-Я])")
+#: Characters of scripts without spaces, and how many of them count as a word.
+HAN, THAI = "\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff", "\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff"
+NO_SPACES = ((re.compile(f"[{HAN}]"), 2), (re.compile(f"[{THAI}]"), 4))
+#: A longer run without spaces counts as a word per LONG_PART characters.
+LONG_WORD, LONG_PART = re.compile(r"\S{41}"), 8
+#: Cuts: after a line end; after a sentence's end and space; before a capital after a space; in scripts without spaces, after their marks and spaces.
+CUT = re.compile(rf"(?<=\n)|(?<=[.!?] )|(?<= )(?=[A-ZÀ-ÖØ-ÞА-Я{HAN}{THAI}])|(?<=[。！？｡、，])")
 EDGE = " \t\r\n.,;:!?\"'()[]|*%&$#"
 
 
 def units(text: str) -> list[tuple[int, int, int, str]]:
     """(start, end, words, normalised text) of the units of a text, in order; they cover it."""
-    cuts = [0, *(m.start() for m in CUT.finditer(text) if m.start()), len(text)]
+    cuts = [0, *(m.start() for m in CUT.finditer(text) if 0 < m.start() < len(text)), len(text)]
+    scripts = [(kind, each) for kind, each in NO_SPACES if kind.search(text)]
+    long = LONG_WORD.search(text) is not None
     out = []
     for a, b in zip(cuts, cuts[1:]):
         words = text[a:b].lower().split()
+        n = len(words)
+        if long:
+            n += sum(len(w) // LONG_PART - 1 for w in words if len(w) > 40 and not any(kind.search(w) for kind, _ in scripts))
+        for kind, each in scripts:
+            n = max(n, -(-len(kind.findall(text, a, b)) // each))
         if words:
             words[0], words[-1] = words[0].lstrip(EDGE), words[-1].rstrip(EDGE)
-        out.append((a, b, len(words), " ".join(words)))
+        out.append((a, b, n, " ".join(words)))
     return out
 
 
-def spans(text: str, repeated: set[int], run_words: int = RUN_WORDS, unit_words: int = UNIT_WORDS) -> list[tuple[int, int]]:
-    """The spans to remove, given the starts of units (of unit_words or more) that have an earlier occurrence.
+def windows(cut: list[tuple[int, int, int, str]], unit_words: int = UNIT_WORDS) -> list[tuple[int, int]]:
+    """What is hashed, as [i, j) of units: each of unit_words or more alone; of a row of shorter ones, as many from each on as hold twice that, or all that are left if they hold unit_words."""
+    out, i = [], 0
+    while i < len(cut):
+        if cut[i][2] >= unit_words:
+            out.append((i, i + 1))
+            i += 1
+            continue
+        end = i
+        while end < len(cut) and cut[end][2] < unit_words:
+            end += 1
+        j = words = 0
+        for k in range(i, end):
+            j = max(j, k)
+            while j < end and words < 2 * unit_words:
+                words += cut[j][2]
+                j += 1
+            if words >= unit_words and cut[k][2]:
+                out.append((k, j))
+            words -= cut[k][2]
+        i = end
+    return out
 
-    Units of fewer words neither break a run nor count in it, but a run starts and ends with longer ones."""
+
+def spans(text: str, repeated: set[int], run_words: int = RUN_WORDS, unit_words: int = UNIT_WORDS) -> list[tuple[int, int]]:
+    """The spans to remove, given the starts of windows that have an earlier occurrence.
+
+    Units in no window neither break a run nor count in it, but a run starts and ends with others."""
+    cut = units(text)
+    told: list[bool | None] = [None] * len(cut)
+    for i, j in windows(cut, unit_words):
+        again = cut[i][0] in repeated
+        for k in range(i, j):
+            told[k] = told[k] or again
     out, run, words = [], None, 0
-    for start, end, n, _ in [*units(text), (len(text), len(text), unit_words, "")]:
-        if n < unit_words:
+    for (start, end, n, _), again in [*zip(cut, told), ((len(text), len(text), 0, ""), False)]:
+        if again is None or n == 0 and start < len(text):
             continue
-        if start in repeated and start < len(text):
+        if again:
             run, words = (run[0] if run else start, end), words + n
             continue
         if run and words >= run_words:
@@ -65,7 +111,7 @@ def keyed(docs: DataFrame, text: str) -> DataFrame:
 
 
 def removals(docs: DataFrame, text: str = "text", unit_words: int = UNIT_WORDS) -> DataFrame:
-    """(__rank, __key, starts): the units of each document that occur earlier."""
+    """(__rank, __key, starts): the windows of each document that occur earlier."""
 
     def cut(batches):
         for b in batches:
@@ -73,10 +119,16 @@ def removals(docs: DataFrame, text: str = "text", unit_words: int = UNIT_WORDS)
                 part = b.slice(lo, 512)
                 rank, key, start, h1, h2 = [], [], [], [], []
                 for r, k, t in zip(*(part.column(c).to_pylist() for c in ("__rank", "__key", "text"))):
-                    for a, _, n, norm in units(t or ""):
-                        if n >= unit_words:
-                            h = xxhash.xxh3_128_intdigest(norm.encode("utf-8", "replace"))
-                            rank.append(r), key.append(k), start.append(a), h1.append((h >> 64) - 2**63), h2.append((h & 2**64 - 1) - 2**63)
+                    cut_at = units(t or "")
+                    until = {}
+                    for i, j in windows(cut_at, unit_words):
+                        a = cut_at[i][0]
+                        h = xxhash.xxh3_128_intdigest(" ".join(u[3] for u in cut_at[i:j]).encode("utf-8", "replace"))
+                        # a window that overlaps its own like isn't a repeat of it
+                        if j > i + 1 and until.get(h, 0) > a:
+                            continue
+                        until[h] = cut_at[j - 1][1]
+                        rank.append(r), key.append(k), start.append(a), h1.append((h >> 64) - 2**63), h2.append((h & 2**64 - 1) - 2**63)
                 yield pa.RecordBatch.from_arrays([pa.array(rank, pa.int64()), pa.array(key, pa.int64()), pa.array(start, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], names=["__rank", "__key", "start", "h1", "h2"])
         common.trim()
 

@@ -305,6 +305,24 @@ def test_substring_dedup(spark, tmp_path):
     assert substring_dedup.dedup(empty(spark, tmp_path)).count() == 0
 
 
+def test_substring_dedup_of_short_units(spark, tmp_path):
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcdefgh") for _ in range(n))
+    title = " ".join(word(6).capitalize() for _ in range(60))
+    lines = "\n".join(f"{word(5)} {word(7)}" for _ in range(40)) + "\n"
+    han = "".join(chr(0x4E00 + r.randrange(2000)) + "。" * (k % 17 == 16) for k in range(170))
+    thai = "".join(chr(0x0E01 + r.randrange(40)) for _ in range(200))
+    base64 = "\n".join("".join(r.choice("ABCDEFabcdef0123") for _ in range(76)) for _ in range(5))
+    texts = [title, title.upper(), lines, han, thai, base64]
+    rows = [(2 * k + n, t) for k, t in enumerate(texts) for n in (0, 1)]
+    around = [(100, "one more beginning here. " + title + ". and another end of it"), (101, " ".join(["NO"] * 12)), (102, "甲乙丙丁。" + han + "天地")]
+    got = {g["doc_id"]: g for g in substring_dedup.dedup(docs(spark, tmp_path, [*rows, *around], "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert got[i]["text"].strip() == ("" if i % 2 or t == title.upper() else t.strip()), i
+    assert got[100]["text"].split() == "one more beginning here. and another end of it".split()
+    assert got[101]["text"] == " ".join(["NO"] * 12) and got[102]["text"] == "甲乙丙丁。天地"
+
+
 def test_units_cover_the_text():
     for t in ("", "a b. C d\nE  f", LONG[:500], "x\n\n\ny", "Ab Cd ef! gh"):
         u = substring_dedup.units(t)

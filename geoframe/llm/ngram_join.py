@@ -1,8 +1,9 @@
 """Similarity join on word n-grams: documents whose sets of five-word shingles have Jaccard >= 0.8.
 
 1. Each document's shingles (lower-case, white-space separated words) are hashed to 64 bits.
-   Documents with the same set form a class; only its representative (least doc_id)
-   goes on, with the number of its copies.
+   Documents with the same set form a class; only its representative (least doc_id, of
+   equal ids the least text hash) goes on, with the number of its copies. Id and text hash
+   together tell classes apart, so that different texts may share an id, or have none.
 2. MinHash LSH forest: every tree holds a label of `depth` hash minima, and its trie is
    walked from full labels up: the matched prefix is shortened until the chance that two
    sets at the threshold share it in some tree reaches the target recall. Representatives
@@ -15,6 +16,8 @@
 Result: a row per document: doc_id, class_id (least doc_id that links reach), n_links
 (other documents, copies included, with Jaccard >= threshold).
 
+The stage keeps the representative of each class: one row of those with its id and text.
+
 Edge cases: a text with one to four words is one shingle of all its words. Null texts and
 texts without words have no shingles, link with nothing and are their own class. Repeated
 rows (same doc_id) count as separate documents that are copies. A null doc_id ranks first.
@@ -99,7 +102,7 @@ def _lists(column) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(docs: DataFrame, text: str, words: int, trees: int, depth: int) -> DataFrame:
-    """(id, d1, d2, n, prefixes): the digest and size of each document's set, and its trie prefixes."""
+    """(id, t, d1, d2, n, prefixes): a hash of each text, the digest and size of its set, and its trie prefixes."""
 
     def run(batches):
         for b in batches:
@@ -115,13 +118,13 @@ def signatures(docs: DataFrame, text: str, words: int, trees: int, depth: int) -
                     d2[full] = np.add.reduceat(mix(flat ^ np.uint64(0xA5A5A5A5A5A5A5A5)), begins)
                     pre[full] = labels(flat, count[full], trees, depth)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id"), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(count),
+                    [part.column("id"), part.column("t"), pa.array(d1.view(np.int64)), pa.array(d2.view(np.int64)), pa.array(count),
                      pa.ListArray.from_arrays(pa.array(np.arange(len(count) + 1, dtype=np.int32) * trees), pa.array(pre.view(np.int64).ravel()))],
-                    names=["id", "d1", "d2", "n", "prefixes"])
+                    names=["id", "t", "d1", "d2", "n", "prefixes"])
         common.trim()
 
-    rows = docs.select(F.col("doc_id").alias("id"), word_hashes(text).alias("w"))
-    return rows.mapInArrow(run, "id long, d1 long, d2 long, n long, prefixes array<long>")
+    rows = docs.select(F.col("doc_id").alias("id"), F.xxhash64(text).alias("t"), word_hashes(text).alias("w"))
+    return rows.mapInArrow(run, "id long, t long, d1 long, d2 long, n long, prefixes array<long>")
 
 
 class Sets:
@@ -186,16 +189,16 @@ def verify(ids, copies, side, flat, count, threshold) -> tuple[np.ndarray, np.nd
             return links[back], root[back]
 
 
-def join(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES,
-         depth: int = DEPTH, recall: float = RECALL, block: int = 1024) -> DataFrame:
-    """A row per document: doc_id, class_id, n_links."""
+def classed(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, words: int = WORDS, trees: int = TREES,
+            depth: int = DEPTH, recall: float = RECALL, block: int = 1024) -> DataFrame:
+    """A row per document: id (-2**63 for null), t (a hash of its text), top (id and t of its class's representative; null without shingles), n_links."""
     spark = docs.sparkSession
     used = prefix_depth(threshold, trees, depth, recall)
-    # ranks: a null id before all others; its class is told as null again at the end
+    # ranks: a null id before all others
     docs = docs.select(F.coalesce(F.col("doc_id"), F.lit(-2**63)).alias("doc_id"), F.col(text).alias("text"))
     own = common.written(common.few_files(signatures(docs, "text", words, trees, used), common.size_in_bytes(docs)), "signatures")
     key = ["d1", "d2", "n"]
-    classes = own.where("n > 0").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes"))
+    classes = own.where("n > 0").groupBy(*key).agg(F.min(F.struct("id", "t")).alias("rep"), F.count("*").alias("copies"), F.first("prefixes").alias("prefixes"))
     classes = common.written(common.few_files(classes, common.size_in_bytes(own)), "classes")
     nodes = classes.select("rep", F.posexplode("prefixes").alias("tree", "prefix"))
     hubs = nodes.groupBy("tree", "prefix").agg(F.min("rep").alias("hub"), F.max("rep").alias("last")).where("hub <> last")
@@ -217,31 +220,41 @@ def join(docs: DataFrame, text: str = "text", threshold: float = THRESHOLD, word
     placed = placed.select("rep", "comp", F.col("t.i").alias("i"), F.col("t.j").alias("j"), side.alias("side"), group.alias("grp"))
     # the sets of the representatives: texts again, for candidates only
     reps = classes.select(*key, "rep", "copies").join(near.select(F.col("node").alias("rep")), "rep")
-    texts = docs.join(reps, docs["doc_id"] == reps["rep"]).select("rep", *key, "copies", "text").dropDuplicates(["rep", *key])
-    work = placed.join(texts.select("rep", *key, "copies", word_hashes("text").alias("w")), "rep")
+    told = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    texts = told.join(reps, (told["doc_id"] == reps["rep.id"]) & (told["t"] == reps["rep.t"])).select("rep", "copies", "text").dropDuplicates(["rep"])
+    work = placed.join(texts.select("rep", "copies", word_hashes("text").alias("w")), "rep")
+    work = work.select("grp", "comp", "i", "j", "side", "rep.id", "rep.t", "copies", "w").withColumn("comp", F.xxhash64("comp"))
 
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, g in pdf.groupby(["comp", "i", "j"], sort=False):
             flat, count = shingles(np.concatenate([np.asarray(w, np.int64) for w in g["w"]]), np.array([len(w) for w in g["w"]]), words)
-            # where rows share an id, only the one whose set this is belongs here
-            ids = g["rep"].to_numpy()
-            links, root = verify(ids, g["copies"].to_numpy(), g["side"].to_numpy(), flat, count, threshold)
-            hit = (links > 0) | (root != ids)
-            out.append(pd.DataFrame({"rep": ids[hit], "links": links[hit], "root": root[hit]}))
-        return pd.concat(out) if out else pd.DataFrame({"rep": [], "links": [], "root": []})
-
-    found = work.groupBy("grp").applyInPandas(tile, "rep long, links long, root long")
+            ids, texts_of = g["id"].to_numpy(), g["t"].to_numpy()
+            order = np.lexsort((texts_of, ids))
+            place = np.argsort(order)  # members by their rank: id, then text
+            links, root = verify(place, g["copies"].to_numpy(), g["side"].to_numpy(), flat, count, threshold)
+            hit = (links > 0) | (root != place)
+            least = order[root[hit]]
+            out.append(pd.DataFrame({"id": ids[hit], "t": texts_of[hit], "links": links[hit], "root_id": ids[least], "root_t": texts_of[least]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "t": [], "links": [], "root_id": [], "root_t": []})
+
+    found = work.groupBy("grp").applyInPandas(tile, "id long, t long, links long, root_id long, root_t long")
+    found = found.select(F.struct("id", "t").alias("rep"), "links", F.struct(F.col("root_id").alias("id"), F.col("root_t").alias("t")).alias("root"))
     found = common.written(common.few_files(found, common.size_in_bytes(docs)), "links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = common.components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     told = classes.select(*key, "rep", "copies").join(links, "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    told = told.select(*key, "copies", F.coalesce("comp", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = own.select("id", *[F.when(F.col("n") > 0, F.col(k)).alias(k) for k in key])
+    told = told.select(*key, "copies", F.coalesce("comp", "rep").alias("top"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    rows = own.select("id", "t", *[F.when(F.col("n") > 0, F.col(k)).alias(k) for k in key])
     out = common.with_lookup(rows, told, key, "copies", F.col("id"))
+    return out.select("id", "t", "top", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def join(docs: DataFrame, text: str = "text", **options) -> DataFrame:
+    """A row per document: doc_id, class_id, n_links."""
     real = lambda c: F.when(c != -2**63, c)
-    return common.few_files(out.select(
-        real(F.col("id")).alias("doc_id"), real(F.coalesce("class_id", "id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), common.size_in_bytes(docs))
+    return common.few_files(classed(docs, text, **options).select(
+        real(F.col("id")).alias("doc_id"), real(F.coalesce("top.id", "id")).alias("class_id"), "n_links"), common.size_in_bytes(docs))
 
 
 def op1_ngram_jaccard_join(spark, sf_dir):
@@ -249,6 +262,8 @@ def op1_ngram_jaccard_join(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """One document of each class stays: that with the least doc_id."""
-    keep = join(docs.select("doc_id", "text")).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id").distinct()
-    return docs.join(keep.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id").dropDuplicates(["doc_id"])
+    """One document of each class stays: that with the least doc_id; of equal ids, that with the least text hash. Without words, one of each id and text."""
+    found = classed(docs.select("doc_id", "text"))
+    keep = found.where(F.col("top").isNull() | (F.col("top") == F.struct("id", "t"))).select(F.col("id").alias("__id"), F.col("t").alias("__t")).distinct()
+    own = docs.withColumns({"__id": F.coalesce(F.col("doc_id"), F.lit(-2**63)), "__t": F.xxhash64("text")})
+    return own.join(keep, ["__id", "__t"]).dropDuplicates(["__id", "__t"]).select(*docs.columns)

@@ -81,6 +81,23 @@ def test_ngram_join_edges(spark, tmp_path):
     assert ngram_join.join(empty(spark, tmp_path).select("doc_id", "text")).count() == 0
 
 
+def test_ngram_join_of_shared_and_null_ids(spark, tmp_path):
+    r = random.Random(6)
+    say = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    base = [say(60) for _ in range(12)]
+    near = [[*b[:-1], "changed"] for b in base]
+    texts = [" ".join(b) for b in base]
+    # different texts without an id and with a shared one; a near copy of each, some of them with the id of another text
+    rows = [(None if k < 6 else 7, t) for k, t in enumerate(texts)] + [(None if k < 3 else 7 if k < 9 else 50 + k, " ".join(b)) for k, b in enumerate(near)]
+    d = docs(spark, tmp_path, [(i, t, "en", "a", 1) for i, t in [*rows, rows[0]]])
+    got = ngram_join.join(d.select("doc_id", "text"), block=4).collect()
+    assert collections.Counter((g["doc_id"], g["class_id"], g["n_links"]) for g in got) == collections.Counter(
+        {(None, None, 1): 7, (None, None, 2): 3, (7, None, 1): 3, (7, 7, 1): 9, (59, 7, 1): 1, (60, 7, 1): 1, (61, 7, 1): 1})
+    kept = ngram_join.stage(spark, d, None).collect()
+    assert len(kept) == 12 and len({" ".join(g["text"].split()[:59]) for g in kept}) == 12
+    assert collections.Counter(g["doc_id"] for g in kept) == {None: 6, 7: 6}
+
+
 def test_prefix_depth_shortens_to_recall():
     d = ngram_join.prefix_depth(0.8)
     assert 1 - (1 - 0.8**d) ** ngram_join.TREES >= ngram_join.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** ngram_join.TREES

@@ -1,8 +1,10 @@
 """Personal data: detection, and surrogates in its place, in DataFrame functions only.
 
-Detected: e-mail addresses, telephone numbers, IPv4 addresses, card numbers, national ids
-(ddd-dd-dddd), IBANs, cloud access keys, assigned passwords and tokens, and names after a
-title. An entity's identity is its type and normal form (an address in lower case, a
+Detected: e-mail addresses, telephone numbers (3-3-4 digits, or + and 8 to 15 digits in any
+groups), IPv4 addresses, card numbers (four groups of four digits, and three more; other
+forms of 13 to 19 digits by their Luhn sum), national ids (ddd-dd-dddd), IBANs, cloud access keys, values
+assigned to passwords, secrets, tokens and API keys (to the next quote or white space), and
+names after a title. An entity's identity is its type and normal form (an address in lower case, a
 telephone number's last ten digits, a card's digits, a name's words), so that it is told
 again in other spellings. Surrogates come from a keyed hash of the identity:
 
@@ -47,32 +49,38 @@ OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 #: The forms, in order of precedence. Each start is guarded, so that long runs are passed in one go.
 FORMS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,8}",
-    "secret": r"(?<![A-Za-z0-9])(?:[Pp]assword|[Pp]asswd|[Ss]ecret|[Tt]oken|[Aa]pi[_-]?[Kk]ey)\s{0,2}[=:]\s{0,2}[\"']?[A-Za-z0-9_/+-]{8,200}+[\"']?",
+    "secret": r"(?<![A-Za-z0-9_-])[A-Za-z0-9_-]{0,40}?(?:(?i)password|passwd|secret|token|api[_-]?key)(?:[_-][A-Za-z0-9_-]{0,40}+|\d{1,4}+|(?<=[a-z])[A-Z][A-Za-z0-9_-]{0,40}+)?[\"']?\s{0,2}[=:]\s{0,2}[\"']?(?=[^\s\"']{0,200}[A-Za-z0-9])[^\s\"']{7,}[^\s\"'.,;:!?)}\]][\"']?",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}+(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "national_id": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){3}(?!\d)",
-    "phone": r"(?:(?<![\w+])\+\d{1,3}[ .-]?|(?<![\w+.-]))(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)",
+    "card": r"(?<![\d-])\d{4}(?:[ -]?\d{4}){3}(?!\d|[ -]\d{3}(?!\d))",
+    "long_card": r"(?<![\d-])(?:\d{4}(?:[ -]?\d{4}){3}[ -]\d{3}|[2-6]\d{12,18}+|3\d{3}[ -]\d{6}[ -]\d{4,5})(?!\d)",
+    "phone": r"(?:(?<![\w+])\+\d{1,3}[ .-]?|(?<![\w+.-]))(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<![\w+])\+(?:1\d{10}|[1-9](?:[ ./-]?\(?\d\)?){7,14}+)(?!\d)",
     "name": rf"(?<![\p{{L}}])(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}[\p{{Ll}}'-]{{1,40}}+(?: \p{{Lu}}[\p{{Ll}}'-]{{1,40}}+){{0,2}}",
 }
 PATTERN = "|".join(FORMS.values())
 #: What every form but a name holds, and what every name starts with.
-HINT = rf"[0-9@]|[=:]\s*[\"']?[A-Za-z0-9_/+-]{{8}}|(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}"
+HINT = rf"[0-9@]|[=:]\s*[\"']?[^\s\"']{{8}}|(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}"
+
+
+#: The kind of what has a form by chance; it stays.
+NONE = "none"
 
 
 def kind_of(entity: Column) -> Column:
     out = F.lit(None).cast("string")
     for name, form in reversed(FORMS.items()):
         out = F.when(entity.rlike(rf"^(?:{form})$"), F.lit(name)).otherwise(out)
-    return F.coalesce(out, F.lit("secret"))
+    # without groups of four, numbers of other lengths than 16 are cards by their Luhn sum only
+    return F.when(out == "long_card", F.when((luhn(digits(entity)) == 0) | entity.rlike(r"^\d{4}(?:[ -]?\d{4}){3}[ -]"), F.lit("card")).otherwise(F.lit(NONE))).otherwise(F.coalesce(out, F.lit("secret")))
 
 
 def digits(c: Column) -> Column:
     return F.regexp_replace(c, r"\D", "")
 
 
-VALUE = r"[=:]\s*[\"']?([A-Za-z0-9_/+-]+)"
+VALUE = r"[=:]\s*[\"']?([^\s\"']+)"
 
 
 def identity_of(kind: Column, entity: Column) -> Column:
@@ -100,7 +108,7 @@ def like(text: Column, numbers: Column) -> Column:
     """Text with other digits and letters of the same class, by the numbers."""
     letter = lambda first, n, at: F.char(F.lit(ord(first)) + F.element_at(numbers, at + 1) % n)
     return F.array_join(F.transform(F.split(text, ""), lambda c, i:
-        F.when(c.rlike("[0-9]"), letter("0", 10, i)).when(c.rlike("[a-z]"), letter("a", 26, i)).when(c.rlike("[A-Z]"), letter("A", 26, i)).otherwise(c)), "")
+        F.when(c.rlike("[0-9]"), letter("0", 10, i)).when(c.rlike("[a-z]"), letter("a", 26, i)).when(c.rlike("[A-Z]"), letter("A", 26, i)).when(c.rlike(r"\p{L}"), letter("a", 26, i)).otherwise(c)), "")
 
 
 def pick(names: list[str], number: Column) -> Column:
@@ -136,6 +144,8 @@ def surrogate(key: str) -> Column:
             .when(kind == "ip", F.concat_ws(".", *[(at(i) % 254 + 1).cast("string") for i in range(1, 5)]))
             .when(kind == "access_key", F.concat(F.substring(own, 1, 4), F.expr("substring(_like, 5, length(identity))")))
             .when(kind == "iban", F.concat(F.substring(own, 1, 2), F.expr("substring(_like, 3, length(identity))")))
+            # a value with few letters and digits has few others of its form
+            .when((kind == "secret") & (F.col("attempt") >= 3), F.concat(F.col("_like"), F.substring(F.sha2(seed, 256), 1, 12)))
             .otherwise(F.col("_like")))
 
 
@@ -167,11 +177,10 @@ def in_form() -> Column:
 
     words = F.transform(F.split(F.substring(new, F.lit(3), F.length(new)), " "), lambda w: F.initcap(w))
     title = F.regexp_extract(entity, rf"^((?:{TITLES_F}|{TITLES_M})\.? )", 1)
-    value = F.regexp_extract(entity, VALUE, 1)
     mixed = F.when(entity == F.upper(entity), F.upper(new)).otherwise(new)
     return (F.when(kind.isin("phone", "card", "national_id"), fill("[^0-9]")).when(kind == "iban", fill(" "))
             .when(kind == "name", F.concat(title, F.array_join(words, " ")))
-            .when(kind == "secret", F.concat(F.expr(f"substring(entity, 1, locate(regexp_extract(entity, r'{VALUE.replace(chr(39), chr(92) + 'x27')}', 1), entity, greatest(locate('=', entity), locate(':', entity))) - 1)"), new,
+            .when(kind == "secret", F.concat(F.regexp_extract(entity, r"^([^=:]*[=:]\s*[\"']?)", 1), new,
                                              F.when(entity.rlike("[\"']$"), F.expr("right(entity, 1)")).otherwise(F.lit(""))))
             .when(kind == "email", mixed).otherwise(new))
 
@@ -188,8 +197,8 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     forms = rows.groupBy("entity").agg(F.count("*").alias("n"))
     forms = forms.withColumn("kind", kind_of(F.col("entity"))).withColumn("identity", identity_of(F.col("kind"), F.col("entity")))
     forms = common.written(common.few_files(forms, size // 8), "forms")
-    named = with_surrogates(forms.select("kind", "identity").distinct(), key)
-    table = forms.join(named, ["kind", "identity"]).select("entity", "n", "kind", in_form().alias("surrogate"))
+    named = with_surrogates(forms.where(F.col("kind") != NONE).select("kind", "identity").distinct(), key)
+    table = forms.join(named, ["kind", "identity"], "left").select("entity", "n", "kind", F.when(F.col("kind") == NONE, F.col("entity")).otherwise(in_form()).alias("surrogate"))
     table = common.written(common.few_files(table, size // 8), "replacements")
     told = common.with_lookup(rows, table, ["entity"], "n", F.struct("_rid", "_at"))
     # repeated rows share a _rid and have the same entities: a set holds each place once
@@ -197,7 +206,7 @@ def replace(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
     parts = F.expr(f"split(`{text}`, r'{PATTERN.replace(chr(39), chr(92) + 'x27')}', -1)")
     new = F.transform("_told", lambda x: x["surrogate"])
     joined = F.array_join(F.flatten(F.zip_with(parts, F.concat(new, F.array(F.lit(""))), lambda a, b: F.array(a, b))), "")
-    entities = F.transform("_told", lambda x: F.struct(x["kind"].alias("kind"), x["surrogate"].alias("surrogate")))
+    entities = F.transform(F.filter("_told", lambda x: x["kind"] != NONE), lambda x: F.struct(x["kind"].alias("kind"), x["surrogate"].alias("surrogate")))
     changed = hits.join(told, "_rid").select(*[joined.alias(text) if c == text else F.col(c) for c in own], entities.alias("entities"))
     same = marked.where(F.size("_found") == 0).select(*own, F.array().cast("array<struct<kind:string,surrogate:string>>").alias("entities"))
     return changed.unionByName(same)

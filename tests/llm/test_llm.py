@@ -428,6 +428,22 @@ def test_pii(spark, tmp_path):
     assert pii.replace(empty(spark, tmp_path)).count() == 0
 
 
+def test_pii_of_common_forms(spark, tmp_path):
+    long, jwt = "a1B2" * 75, "eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4"
+    hidden = ["API_KEY=sk9f8e7d6c5b4a", "DB_PASSWORD=hunter2hunter2", "secret_key=abcd1234efgh", "password=P@ssw0rd!2024", f"token={long}", f"token={jwt}", 'accessToken: "ab=cd:ef12345"',
+              "+44 20 7946 0958", "+49 170 1234567", "+33 1 23 45 67 89", "+14995556503", "3782 822463 10005", "378282246310005", "4222222222222", "6304 0000 0000 0000 000", "4111111111111112 123", "4111 1111 1111 1112"]
+    clear = ["order 378282246310006 went", "stamp 1700000000000 seen", "password: ******** was", "the token: is short", "4222222222223 pieces", "the secretary: Margaret spoke"]
+    rows = [*((k, f"it says {t} here.") for k, t in enumerate(hidden)), *((100 + k, t) for k, t in enumerate(clear))]
+    got = {g["doc_id"]: g for g in pii.replace(docs(spark, tmp_path, rows, "doc_id long, text string")).collect()}
+    for k, t in enumerate(hidden):
+        new = got[k]["text"]
+        assert len(got[k]["entities"]) == 1 and new.startswith("it says ") and new.endswith(" here.") and t not in new, (t, new)
+    for k, t in enumerate(clear):
+        assert got[100 + k]["text"] == t and got[100 + k]["entities"] == [], t
+    assert got[0]["text"].startswith("it says API_KEY=") and got[6]["text"].startswith('it says accessToken: "') and got[6]["text"].endswith('" here.')
+    assert not any(long[k: k + 40] in got[4]["text"] for k in range(4)) and "SflK" not in got[5]["text"] and "eyJz" not in got[5]["text"]
+
+
 def test_surrogates_stay_distinct(spark):
     many = spark.range(3000).select(F.lit("name").alias("kind"), F.concat(F.lit("m:person x"), F.col("id").cast("string")).alias("identity"))
     got = pii.with_surrogates(many, "k").collect()

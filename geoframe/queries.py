@@ -283,6 +283,18 @@ def spatial_join_anti(spark, d):
     return spatial_join(s, b, "ga", "gb", 8.0, how="left_anti").select("oid")
 
 
+@query(f"WITH {BOXES}, {SBOX} SELECT s.oid FROM sbox s WHERE EXISTS (SELECT 1 FROM boxes b WHERE b.x0 <= s.x0 + s.w AND b.x0 + b.w >= s.x0 AND b.y0 <= s.y0 + s.h AND b.y0 + b.h >= s.y0)")
+def spatial_join_semi_all(spark, d):
+    s, b = sbox(spark, d).select("oid", F.col("geometry").alias("ga")), boxes(spark, d).select(F.col("geometry").alias("gb"))
+    return spatial_join(s, b, "ga", "gb", 8.0, how="left_semi").select("oid")
+
+
+@query(f"WITH {BOXES}, {SBOX} SELECT s.oid FROM sbox s WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.x0 <= s.x0 + s.w AND b.x0 + b.w >= s.x0 AND b.y0 <= s.y0 + s.h AND b.y0 + b.h >= s.y0)")
+def spatial_join_anti_all(spark, d):
+    s, b = sbox(spark, d).select("oid", F.col("geometry").alias("ga")), boxes(spark, d).select(F.col("geometry").alias("gb"))
+    return spatial_join(s, b, "ga", "gb", 8.0, how="left_anti").select("oid")
+
+
 _MEET = "(CASE WHEN ox > 0 AND oy > 0 THEN ox * oy ELSE 0 END)"
 
 
@@ -330,6 +342,11 @@ def buf_point(spark, d):
     return pts(spark, d).where("oid < 500").select("oid", V.st_buffer("geometry", 1.0).alias("g")).select("oid", N.st_point_count("g").alias("points"), F.round(N.st_area("g"), 6).alias("area"))
 
 
+@query(f"WITH {PTS} SELECT oid, 32 AS points, round(16 * sin(pi() / 16), 6) AS area FROM pts")
+def buf_point_all(spark, d):
+    return pts(spark, d).select("oid", V.st_buffer("geometry", 1.0).alias("g")).select("oid", N.st_point_count("g").alias("points"), F.round(N.st_area("g"), 6).alias("area"))
+
+
 @query(f"WITH {SBOX} SELECT oid, round(2 * w, 6) AS flat, round(2 * w + 4, 6) AS square, round(2 * w + 16 * sin(pi() / 16), 6) AS round_, round(w, 6) AS single FROM sbox")
 def buf_line_caps(spark, d):
     s = sbox(spark, d).select("oid", F.col("geometry.bbox").alias("b"))

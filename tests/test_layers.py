@@ -107,6 +107,13 @@ def test_query_equals_its_sql(spark, name):
     assert norm([tuple(r) for r in got.select(*names).collect()], names) == norm(rows, names)
 
 
+def test_queries_of_whole_tables(spark):
+    got = {n: {r["oid"] for r in queries.QUERIES[n](spark, SF).select("oid").collect()} for n in ("buf_point_all", "spatial_join_semi", "spatial_join_semi_all", "spatial_join_anti_all")}
+    assert got["buf_point_all"] == {r["oid"] for r in queries.pts(spark, SF).select("oid").collect()}
+    assert got["spatial_join_semi"] <= got["spatial_join_semi_all"] and not got["spatial_join_semi_all"] & got["spatial_join_anti_all"]
+    assert got["spatial_join_semi_all"] | got["spatial_join_anti_all"] == {r["oid"] for r in queries.sbox(spark, SF).select("oid").collect()}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 

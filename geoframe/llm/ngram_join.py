@@ -4,10 +4,10 @@
    Documents with the same set form a class; only its representative (least doc_id, of
    equal ids the least text hash) goes on, with the number of its copies. Id and text hash
    together tell classes apart, so that different texts may share an id, or have none.
-2. MinHash LSH forest: every tree holds a label of `depth` hash minima, and its trie is
-   walked from full labels up: the matched prefix is shortened until the chance that two
-   sets at the threshold share it in some tree reaches the target recall. Representatives
-   under one node of a trie are candidates.
+2. MinHash in fixed bands, an LSH forest cut at one depth: every tree has a prefix of hash
+   minima, of the greatest length up to `depth` at which the chance that two sets at the
+   threshold share it in some tree reaches the target recall. The length is chosen before
+   any data is read. Representatives with the same prefix in a tree are candidates.
 3. Candidates that touch form components. A component is verified whole, in tiles of at
    most `block` by `block` representatives: exact intersections of the shingle sets, by
    counting. No pair leaves a tile; what does is a number of links and a root per member.
@@ -38,7 +38,7 @@ TREES, DEPTH, RECALL = 20, 7, 0.999
 
 
 def prefix_depth(threshold: float, trees: int = TREES, depth: int = DEPTH, recall: float = RECALL) -> int:
-    """Shorten full labels until two sets at the threshold share a prefix in some tree with the target chance."""
+    """The length of the prefixes: the greatest up to depth at which two sets at the threshold share a prefix in some tree with the target chance."""
     while depth > 1 and 1 - (1 - threshold**depth) ** trees < recall:
         depth -= 1
     return depth

@@ -7,7 +7,7 @@ import tempfile
 import types
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,7 +34,53 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df as a table in the shared folder: computed once, and read again by whoever lost an executor."""
     path = fresh_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    _WRITTEN.append(path)
+    return out
+
+
+#: Folders that written() and operators have made and that are still there.
+_WRITTEN: list[str] = []
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that written() has made and that nothing reads any more."""
+    for t in tables:
+        _delete(t.sparkSession, t._written_to)
+        _WRITTEN.remove(t._written_to)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this session that are left; call it when results have been stored. How many there were."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        _delete(spark, _WRITTEN.pop())
+    return n
+
+
+def aside(df: DataFrame, *names: str) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns that are called like a result put under `<name>_in`, and the old names by the new."""
+    taken, new = {c.lower() for c in df.columns}, {}
+    for c in df.columns:
+        if c.lower() in {n.lower() for n in names}:
+            free = f"{c}_in"
+            while free.lower() in taken:
+                free += "_"
+            taken.add(free.lower())
+            new[free] = c
+    return df.withColumnsRenamed({c: free for free, c in new.items()}), new
+
+
+def restored(df: DataFrame, new: dict[str, str], columns: list[str]) -> DataFrame:
+    """The given columns of df, with those that aside() renamed under their own names again."""
+    back = {c: free for free, c in new.items()}
+    return df.select(*[F.col(f"`{back.get(c, c)}`").alias(c) for c in columns])
 
 
 def size_in_bytes(df: DataFrame) -> int:
@@ -80,7 +126,8 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     Labels fall to the least of the neighbours' and then to their label's own label
     (pointer jumping), so that chains of length n need about log n rounds. Each round is
-    written to the shared folder; only the count of changes comes to the driver.
+    written to the shared folder, and the one before it goes; only the count of changes
+    comes to the driver.
     """
     both = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a <> b")
     both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -92,10 +139,15 @@ def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
         new = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
         new = new.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("comp"))
-        new = written(few_files(new, size), "labels")
-        labels, changed = new.select("node", "comp"), not new.where("old <> comp").isEmpty()
+        seen = Observation()
+        new = written(few_files(new, size).observe(seen, F.coalesce(F.count_if(F.col("old") != F.col("comp")), F.lit(0)).alias("changed")), "labels")
+        discard(labels)
+        labels, changed = new, seen.get.get("changed")
         if not changed:
-            return labels
+            discard(both)
+            out = labels.select("node", "comp")
+            out._written_to = labels._written_to
+            return out
 
 
 def with_lookup(rows: DataFrame, found: DataFrame, keys: list[str], count: str, by: Column, hot_share: float = 0.001) -> DataFrame:

@@ -8,79 +8,101 @@ code length of a byte depends only on the three bytes before it: a table of cont
 byte by language holds every code length, and a text's code length in a language is
 the sum over its bytes. All bytes of a text are scored.
 
-Nulls and edge cases: a null text, or one without a letter, is `und` with score 0. Rows
-with null lang aren't learned from. With no learnable row every text is `und`. Repeated
-rows give repeated results; ties go to the language that sorts first.
+Executors count the bytes of the sample by their contexts. These counts are the model: they
+alone come to the driver and are broadcast, as plain arrays, and each Python worker makes
+the table of code lengths from them once.
+
+Edge cases: a null text, or one without a letter, is `und` with score 0. Rows with null lang
+aren't learned from. With no learnable row every text is `und`. Repeated rows give repeated
+results, and count once in training; ties go to the language that sorts first. Very long
+texts are scored in runs of bytes, whole. Input columns called lang_pred, score or
+bits_per_byte are returned as `<name>_in`; the stage returns them under their own names.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from geoframe.llm import common
 
 ORDER = 3
-LEAST = 16  # an order-3 context is kept if it was seen so often in one language
+LEAST = 16  # an order-3 context is kept if a language has seen it so often
+RESULTS = ("lang_pred", "score", "bits_per_byte")
+
+
+def grams_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Each byte with the three before it, as a number (the oldest highest), and how often it stands so."""
+    raw = np.frombuffer(b"".join(b"\n\n\n" + t.encode("utf-8", "replace") for t in texts), np.uint8).astype(np.uint32)
+    if len(raw) <= ORDER:
+        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+    return np.unique(raw[:-3] << 24 | raw[1:-2] << 16 | raw[2:-1] << 8 | raw[3:], return_counts=True)
+
+
+def model_of(samples: dict[str, list[str]]) -> dict:
+    """The counts of some texts by language."""
+    langs = sorted(samples)
+    return {"langs": langs, "grams": [grams_of(samples[x]) for x in langs]}
 
 
 class PPM:
-    """langs, and the frozen tables: context of the last three bytes; bits by context, byte and language."""
+    """The frozen tables of a model: context of the last three bytes; bits by context, byte and language."""
 
-    def __init__(self, samples: dict[str, list[str]]):
-        self.langs = sorted(samples)
+    def __init__(self, model: dict, part: int = 512):
+        self.langs = model["langs"]
         if not self.langs:
             return
-        grams = {lang: self._grams(samples[lang]) for lang in self.langs}
-        root = np.full((256, len(self.langs)), 1 / 256)
-        zero = np.stack([self._node(root[:, j], np.bincount(grams[x][3], minlength=256)) for j, x in enumerate(self.langs)], 1)
-        tables, self.maps = [zero[None]], []
-        parent = np.zeros(1, np.int64)  # of each context of the order before, dense over all of them: its row
-        for order in range(1, ORDER + 1):
-            seen: dict[int, dict[int, tuple]] = {}
-            for j, x in enumerate(self.langs):
-                code = np.zeros(len(grams[x][0]), np.int64)
-                for b in grams[x][ORDER - order:]:
-                    code = code << 8 | b
-                pair, count = np.unique(code, return_counts=True)
-                context, at = np.unique(pair >> 8, return_index=True)
-                for c, s, e in zip(context, at, [*at[1:], len(pair)]):
-                    if count[s:e].sum() >= (LEAST if order == ORDER else 2):
-                        seen.setdefault(int(c), {})[j] = (pair[s:e] & 255, count[s:e])
-            base = sum(map(len, tables))
-            dense = np.tile(parent, 256)  # a context that wasn't seen falls to its shorter one
-            rows = np.empty((len(seen), 256, len(self.langs)))
-            flat = np.concatenate(tables)
-            for k, c in enumerate(sorted(seen)):
-                rows[k] = flat[dense[c]]
-                for j, (byte, count) in seen[c].items():
-                    full = np.zeros(256)
-                    full[byte] = count
-                    rows[k, :, j] = self._node(rows[k, :, j], full)
-                dense[c] = base + k
-            tables.append(rows)
-            parent = dense
-        self.table = (-np.log2(np.concatenate(tables))).astype(np.float32).reshape(-1, len(self.langs))
-        self.context = parent.astype(np.uint16 if parent.max() < 1 << 16 else np.int32)
-
-    @staticmethod
-    def _grams(texts: list[str]) -> list[np.ndarray]:
-        """The bytes three, two and one before each byte, and the byte."""
-        raw = np.frombuffer(b"".join(b"\n\n\n" + t.encode("utf-8", "replace") for t in texts), np.uint8).astype(np.int64)
-        return [raw[k: len(raw) - ORDER + k] for k in range(ORDER + 1)]
+        many = len(self.langs)
+        counts, kept = [], []  # by order: of each language sorted (context and byte, count); the contexts that stay
+        for order in range(ORDER + 1):
+            rows, often = [], []
+            for gram, n in model["grams"]:
+                key, at = np.unique(gram.astype(np.int64) & (1 << 8 * (order + 1)) - 1, return_inverse=True)
+                rows.append((key, np.bincount(at, weights=n, minlength=len(key))))
+                context, at = np.unique(key >> 8, return_inverse=True)
+                often.append(context[np.bincount(at, weights=rows[-1][1], minlength=len(context)) >= {0: 0, ORDER: LEAST}.get(order, 2)])
+            counts.append(rows)
+            kept.append(np.unique(np.concatenate(often)) if order else np.zeros(1, np.int64))
+        self.table = np.empty((sum(map(len, kept)), 256, many), np.float32)
+        kind = np.uint16 if len(self.table) < 1 << 16 else np.int32
+        dense, base = np.zeros(1, kind), 0  # of each context of the order before: its row
+        for order, context in enumerate(kept):
+            shorter = dense[context & (1 << 8 * (order - 1)) - 1] if order else None
+            own = []
+            for key, n in counts[order]:
+                at = np.minimum(np.searchsorted(context, key >> 8), max(len(context) - 1, 0))
+                here = context[at] == key >> 8 if len(context) else np.zeros(len(key), bool)
+                own.append((at[here], key[here] & 255, n[here]))
+            for lo in range(0, len(context), part):
+                hi = min(lo + part, len(context))
+                parent = self.table[shorter[lo:hi]].astype(np.float64) if order else np.full((1, 256, many), 1 / 256)
+                count = np.zeros((hi - lo, 256, many))
+                for j, (at, byte, n) in enumerate(own):
+                    a, b = np.searchsorted(at, (lo, hi))
+                    count[at[a:b] - lo, byte[a:b], j] = n[a:b]
+                self.table[base + lo: base + hi] = self._node(parent, count)
+            if order:
+                dense = np.tile(dense, 256)  # a context that wasn't seen falls to its shorter one
+            dense[context] = base + np.arange(len(context))
+            base += len(context)
+        np.log2(self.table, out=self.table)
+        np.negative(self.table, out=self.table)
+        self.table = self.table.reshape(-1, many)
+        self.context = dense
 
     @staticmethod
     def _node(shorter: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """Probabilities of all bytes in a context, from its counts and the next shorter context's."""
-        n, d = count.sum(), np.count_nonzero(count)
-        if n == 0:
-            return shorter
-        left = shorter * (count == 0)
-        if d == 256:
-            return count / n
-        return count / (n + d) + d / (n + d) * left / left.sum()
+        """Probabilities of all bytes in contexts, from their counts and the next shorter contexts'."""
+        seen = count > 0
+        n, d = count.sum(1, keepdims=True), seen.sum(1, keepdims=True)
+        left = np.where(seen, 0, shorter)
+        rest = np.maximum(left.sum(1, keepdims=True), 1e-300)
+        mixed = count / np.maximum(n + d, 1) + d / np.maximum(n + d, 1) * left / rest
+        return np.where(d == 0, shorter, np.where(d == 256, count / np.maximum(n, 1), mixed))
 
     def bits(self, texts: list[bytes], most: int = 1 << 18) -> np.ndarray:
         """Code lengths, by text and language. Texts are scored in runs of about `most` bytes."""
@@ -112,34 +134,58 @@ class PPM:
         return out
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 300) -> PPM:
-    """Learn from a bounded sample: of each language the docs_per_lang rows with the least hash of their key.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", docs_per_lang: int = 300) -> dict:
+    """Learn from a bounded sample: of each language the docs_per_lang documents with the least hash of their key and text.
 
-    The counts by language come from all rows; the sample is drawn by a hash threshold
-    before anything reaches the driver.
+    The counts by language come from all rows; the sample is cut by a hash threshold before
+    anything is shuffled, and only counts of bytes in their contexts reach the driver.
     """
     rows = labelled.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"), F.xxhash64(key, text).alias("h"))
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
-        return PPM({})
+        return {"langs": [], "grams": []}
     limit = F.lit(0).cast("long")
     for x, n in counts.items():
         share = min(1.0, (1.3 * docs_per_lang + 30) / n)
         limit = F.when(F.col("lang") == x, F.lit(int(-2**63 + share * (2**64 - 2**11)))).otherwise(limit)
-    got = rows.where(F.col("h") <= limit).toPandas().sort_values(["h", "text"])
-    return PPM({x: list(g["text"][:docs_per_lang]) for x, g in got.groupby("lang")})
-
-
-def identify(docs: DataFrame, model: PPM, text: str = "text") -> DataFrame:
+    # repeated rows have one hash, so what is left is bounded by the number of languages
+    few = rows.where(F.col("h") <= limit).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    few = few.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= docs_per_lang)
+
+    def count(batches):
+        for b in batches:
+            names = np.array(b.column("lang").to_pylist(), object)
+            texts = np.array(b.column("text").to_pylist(), object)
+            for x in sorted(set(names)):
+                gram, n = grams_of(list(texts[names == x]))
+                yield pa.RecordBatch.from_arrays([pa.array([x] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
+
+    told = few.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
+    langs, gram, n = sorted(counts), told.column("gram").to_numpy(), told.column("n").to_numpy()
+    # a language whose texts have no bytes at all still has its (empty) tree
+    at = np.searchsorted(langs, told.column("lang").to_pylist())
+    out = {"langs": langs, "grams": [(gram[at == j].astype(np.uint32), n[at == j]) for j in range(len(langs))]}
+    del told
+    common.trim()
+    return out
+
+
+def identify(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
     """docs with lang_pred, score (the likelier language's share under equal priors) and bits_per_byte."""
-    spark, own = docs.sparkSession, [c for c in docs.columns if c not in ("lang_pred", "score", "bits_per_byte")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*own).schema) + ", lang_pred string, score double, bits_per_byte double"
-    keep = docs.select(*own, F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
-    shared = spark.sparkContext.broadcast(model)
+    docs, moved = common.aside(docs, *RESULTS)
+    text = {c: free for free, c in moved.items()}.get(text, text)
+    own = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", lang_pred string, score double, bits_per_byte double"
+    keep = docs.select(*[f"`{c}`" for c in own], F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letter"))
+    shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def score(batches):
-        ppm = shared.value
+        cache = common.worker_cache()
+        if cache.get("ppm", ("",))[0] != name:  # one model at a time is kept
+            cache.pop("ppm", None)
+            cache["ppm"] = name, PPM(shared.value)
+        ppm = cache["ppm"][1]
         for batch in (whole.slice(lo, 512) for whole in batches for lo in range(0, whole.num_rows, 512)):
             letter = np.array(batch.column("__letter").to_pylist(), bool)
             raw = [(t.as_py() or "").encode("utf-8", "replace") if has else b"" for t, has in zip(batch.column(text), letter)]
@@ -155,7 +201,7 @@ def identify(docs: DataFrame, model: PPM, text: str = "text") -> DataFrame:
                 rate = least / np.maximum(1, [len(t) for t in raw])
             yield pa.RecordBatch.from_arrays(
                 [*rest.columns, pa.array(pred, pa.string()), pa.array(conf, pa.float64()), pa.array(rate, pa.float64())],
-                names=[*rest.schema.names, "lang_pred", "score", "bits_per_byte"])
+                names=[*rest.schema.names, *RESULTS])
         common.trim()
 
     return keep.mapInArrow(score, schema)
@@ -172,6 +218,9 @@ def op9_language_id(spark, sf_dir):
 
 
 def stage(spark, docs, sf_dir):
-    """Documents whose language the models settle: `und`, and texts that no language explains better than all others together, go."""
+    """Documents whose language the models settle stay. `und`, texts that no language explains better than all
+    others together, and texts that the best model codes no shorter than plain bytes (other scripts, noise) go."""
+    columns = docs.columns
+    docs, moved = common.aside(docs, *RESULTS)
     found = identify(docs, fit(learnable(docs)))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*docs.columns)
+    return common.restored(found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5) & (F.col("bits_per_byte") < 8)), moved, columns)

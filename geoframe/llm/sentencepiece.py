@@ -1,28 +1,34 @@
 """SentencePiece encoding and decoding, on a relational lattice.
 
-Encoding: texts are cut into words where a space follows another character, and between
+Encoding: texts are cut into units where a space follows another character, and between
 neighbours that stand side by side in no piece: no piece crosses such a cut, so it changes no
-result. Of the distinct words all substrings up to the longest piece's length are exploded and
-equi-joined to the piece table, which gives the lattice's edges; they are grouped by word,
-and a fold with Spark's `aggregate` turns each lattice into ids. The distinct words are
-grouped once, so the joins that follow need no further shuffle. Each input partition then
-looks up the words it holds in a table written for it, and strings their ids together.
+result. Of the distinct units all substrings up to the longest piece's length are exploded and
+equi-joined to the piece table, which gives the lattice's edges; they are grouped by unit,
+and a fold with Spark's `aggregate` turns each lattice into ids. The distinct units are
+shuffled once: explode, join and grouping keep their partitioning. Each input partition then
+looks up the units it holds in a table written for it, and strings their ids together.
 
 The fold follows the model's own type. A unigram model takes the best path (Viterbi: the
 best score at each place, from the edges that end there). A BPE model isn't a best path: it
 merges neighbours, best piece first, leftmost first among equals; the fold then
-takes the edges in the order of their merges, or replays merge by merge where that order can't tell. Characters without a piece become byte pieces (or the unknown
-id, if the model has no byte pieces).
+takes the edges in the order of their merges, or replays merge by merge where that order can't
+tell. Characters without a piece become byte pieces (or the unknown id, if the model has no
+byte pieces).
 
-Words of more than `longest` characters are encoded by the sentencepiece library itself in the
-partition that holds them; their folds would grow with the square of their length.
+The fold's state is a number with a bit per cut, or an array that each step copies. The
+lattices of units of more than SHORT characters come from the same explode and join; their
+edges are folded by folded(), in the partitions that hold them, with a heap of merges (BPE) or
+a list of best scores (unigram), so that a unit of any length costs about its length.
 
 Edge cases: null and empty texts have no ids. Repeated rows are encoded alike. Decoding null
-ids gives null. A model that normalises texts (beyond a dummy prefix and spaces as ▁) is refused.
+ids gives null. Of pieces with equal scores the leftmost merges first. A model that normalises
+texts (beyond a dummy prefix and spaces as ▁) is refused. Input columns with the name of a
+result are returned as `<name>_in`.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 
 import numpy as np
@@ -34,7 +40,8 @@ from pyspark.sql import functions as F
 from geoframe.llm import common
 
 SPACE = "▁"
-LONGEST = 48
+SHORT = 61  # n + 1 cuts are bits of a number
+BLOCK = 256  # characters that substrings are taken from at a time
 UNIGRAM, BPE = 1, 2
 
 
@@ -86,6 +93,7 @@ class Pieces:
         bad = [p for p, _, _ in self.rows if re.search(f"[^{SPACE}]{SPACE}", p)]
         if bad:
             raise ValueError(f"pieces span words: {bad[:3]}")
+        self.distinct = sorted({x for _, _, x in self.rows}, reverse=True)  # scores; the best one's rank is 0
         self.text = [b"" if sp.is_control(i) else bytes([int(sp.id_to_piece(i)[3:5], 16)]) if sp.is_byte(i) else " ⁇ ".encode() if i == self.unknown else sp.id_to_piece(i).replace(SPACE, " ").encode() for i in range(n)]
 
 
@@ -103,70 +111,175 @@ def keys(text: str | None) -> list[str]:
 
 
 class Grams:
-    """Which neighbours occur in pieces: what holds others is no piece, so it needn't be looked up."""
+    """Which neighbours occur side by side in pieces: units end between others, and only substrings of known threes and fours may be pieces."""
 
-    END, CUT = 0xD800, 0xD801  # no text holds surrogates
+    SLOTS = 22  # bits of the hash of three or four neighbours; two that share a slot only cost a look-up
 
     def __init__(self, rows: list[tuple]):
-        names = [p for p, *_ in rows]
-        self.chars = np.array(sorted({ord(c) for p in names if len(p) > 1 for c in p}), np.uint32)
-        longest: list[dict[int, int]] = [{}, {}, {}]  # of pairs, threes and fours: the longest piece that starts with them
-        code = {chr(c): i + 1 for i, c in enumerate(self.chars)}
-        for p in names:
-            c = [code.get(x, 0) for x in p]
-            for q, known in zip((2, 3, 4), longest):
-                for k in range(len(c) - q + 1):
-                    key = 0
-                    for x in c[k: k + q]:
-                        key = key << 16 | x
-                    known[key] = max(known.get(key, 0), 0 if k else len(c))
-        self.known = [np.array(sorted(x), np.uint64) for x in longest]
-        self.longest = np.array([longest[2][int(x)] for x in self.known[2]], np.int64)
-
-    def codes(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Characters, each word with END after it, and their numbers (0: in no piece of two or more)."""
-        text = np.frombuffer(("".join([w + "\ud800" for w in words])).encode("utf-32-le", "surrogatepass"), "<u4")
-        shown = np.where(text == 32, ord(SPACE), text)
-        at = np.minimum(np.searchsorted(self.chars, shown), max(len(self.chars) - 1, 0))
-        return text, np.where(self.chars[at] == shown, at + 1, 0).astype(np.uint64) if len(self.chars) else np.zeros(len(text), np.uint64)
-
-    def held(self, number: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-        """Whether q characters from each place on stand so in a piece, and where in the list."""
-        known, key = self.known[q - 2], np.zeros(len(number), np.uint64)
+        self.names = [p for p, *_ in rows if len(p) > 1]
+
+    def __getstate__(self):
+        return {"names": self.names}
+
+    def _tables(self):
+        """A number for each character; by two numbers, and by the slots of three and four, whether a piece holds them. The first call makes them."""
+        if not hasattr(self, "_made"):
+            text, ends = self._flat(self.names)
+            chars = np.unique(text)
+            code = np.zeros(0x110000, np.int32)
+            code[chars] = np.arange(1, len(chars) + 1)  # a character that is in no piece of several has 0
+            code[ord(" ")] = code[ord(SPACE)]
+            wide, number = len(chars) + 1, code[text]
+            left = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(len(text))  # characters from here to the piece's end
+            known = np.unique((number[:-1].astype(np.int64) * wide + number[1:])[left[:-1] >= 2])
+            if wide * wide <= 1 << 27:
+                table = np.zeros(wide * wide, bool)
+                table[known] = True
+                known = table
+            several = []
+            for q in (3, 4):
+                slots = np.zeros(1 << self.SLOTS, bool)
+                slots[self._slot(number, q)[left[: max(len(text) - q + 1, 0)] >= q]] = True
+                several.append(slots)
+            self._made = code, known, wide, *several
+        return self._made
+
+    @staticmethod
+    def _flat(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The characters of words, end to end, and where each ends."""
+        return np.frombuffer("".join(words).encode("utf-32-le"), "<u4"), np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+
+    def _slot(self, number: np.ndarray, q: int) -> np.ndarray:
+        n = max(len(number) - q + 1, 0)
+        h = np.zeros(n, np.uint64)
         for k in range(q):
-            key <<= np.uint64(16)
-            key[: max(len(number) - k, 0)] |= number[k:]
-        key[max(len(number) - q + 1, 0):] = 0
-        at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
-        return (known[at] == key) if len(known) else np.zeros(len(number), bool), at
-
-    def cut(self, words: list[str]) -> list[list[str]]:
-        """Words, cut between neighbours that no piece holds side by side."""
+            h = (h + number[k: n + k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        return (h >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+
+    def cut(self, words: list[str]) -> dict[int, list[str]]:
+        """The units of those words that fall into several, by the words' places in the list."""
         if not words:
-            return []
-        text, number = self.codes(words)
-        apart = ~self.held(number, 2)[0][:-1] & (text[:-1] != self.END) & (text[1:] != self.END)
-        told = np.insert(text, np.flatnonzero(apart) + 1, self.CUT).tobytes().decode("utf-32-le", "surrogatepass")
-        return [w.split("\ud801") for w in told.split("\ud800")[:-1]]
-
-    def spots(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """start * 65536 + length of the substrings that may be pieces, and each word's place in that list.
-
-        A substring of four or more is kept if all its fours stand in pieces and a piece
-        of its length starts with its first four; single characters always."""
-        text, number = self.codes(words)
-        size = len(text)
-        two, three, (four, at) = self.held(number, 2)[0], self.held(number, 3)[0], self.held(number, 4)
+            return {}
+        code, known, wide, *_ = self._tables()
+        text, ends = self._flat(words)
+        number = code[text]
+        key = number[:-1].astype(np.int64) * wide + number[1:]
+        if known.dtype == bool:
+            apart = ~known[key]
+        else:
+            at = np.minimum(np.searchsorted(known, key), max(len(known) - 1, 0))
+            apart = known[at] != key if len(known) else np.ones(len(key), bool)
+        apart[ends[:-1] - 1] = False
+        cuts = np.flatnonzero(apart) + 1
+        word = np.searchsorted(ends, cuts, "right")
+        at = cuts - np.where(word > 0, ends[word - 1], 0)
+        out: dict[int, list[str]] = {}
+        before, first, whole, mine = -1, 0, "", []
+        for k, x in zip(word.tolist(), at.tolist()):
+            if k != before:
+                mine.append(whole[first:])
+                mine = out[k] = []
+                before, first, whole = k, 0, words[k]
+            mine.append(whole[first:x])
+            first = x
+        mine.append(whole[first:])
+        return out
+
+    def reach(self, units: list[str], longest: int) -> pa.Array:
+        """For each unit a text as long as it: how long a piece from each place on may be (A: 1, B: 2, ...)."""
+        if not units:
+            return pa.array([], pa.string())
+        code, _, _, three, four = self._tables()
+        text, ends = self._flat(units)
+        number, size = code[text], len(text)
         place = np.arange(size)
-        stop = np.minimum.accumulate(np.where(four, size, place)[::-1])[::-1]  # the next place without a known four
-        far = np.minimum(stop - place + 3, self.longest[at] if len(self.longest) else 0)
-        ends = text == self.END
-        reach = np.where(ends, 0, np.where(~two, 1, np.where(~three, 2, np.where(~four, 3, np.maximum(far, 3)))))
-        first = np.concatenate([[0], np.flatnonzero(ends)[:-1] + 1])
-        start = place - np.repeat(first, np.diff(np.concatenate([first, [size]])))
-        before = np.cumsum(reach) - reach
-        length = np.arange(int(reach.sum())) - np.repeat(before, reach) + 1
-        return (np.repeat(start, reach) * 65536 + length).astype(np.int32), np.concatenate([before[first], [int(reach.sum())]]).astype(np.int32)
+        out = np.full(size, 2, np.int64)
+        for q, slots in ((3, three), (4, four)):
+            held = np.zeros(size, bool)
+            held[: max(size - q + 1, 0)] = slots[self._slot(number, q)]
+            stop = np.minimum.accumulate(np.where(held, size, place)[::-1])[::-1]  # the next place from which q characters aren't known
+            out = np.where(out < q - 1, out, stop - place + q - 1)
+        out = np.minimum(np.minimum(out, longest), np.repeat(ends, np.diff(ends, prepend=0)) - place)
+        off = np.concatenate([[0], ends]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(units), pa.py_buffer(off.tobytes()), pa.py_buffer((out + 64).astype(np.uint8).tobytes()))
+
+
+class Bits:
+    """An edge in one number, so that edges sort as merges do: whether it is one character, rank, start, length, id, from the highest bits down."""
+
+    def __init__(self, pieces):
+        self.id = max(i for _, i, _ in pieces.rows).bit_length()
+        self.span = pieces.longest.bit_length()
+        self.rank = len({x for _, _, x in pieces.rows}).bit_length()
+        self.start = 62 - self.id - self.span - self.rank
+        self.low = self.id + self.span
+        # SQL of the parts of the number v
+        self.sql_id = f"cast(v & {(1 << self.id) - 1}L AS int)"
+        self.sql_span = f"cast(shiftright(v, {self.id}) & {(1 << self.span) - 1}L AS int)"
+        self.sql_start = f"cast(shiftright(v, {self.low}) & {(1 << self.start) - 1}L AS int)"
+        self.sql_rank = f"(shiftright(v, {self.low + self.start}) & {(1 << self.rank) - 1}L)"
+        self.sql = f"shiftleft(cast(k = 1 AS bigint), 62) + shiftleft(cast(rank AS bigint), {self.low + self.start}) + shiftleft(cast(s AS bigint), {self.low}) + shiftleft(cast(k AS bigint), {self.id}) + _id"
+
+    def parts(self, v: np.ndarray) -> tuple[np.ndarray, ...]:
+        """rank, start, end and id of edges."""
+        start = v >> self.low & (1 << self.start) - 1
+        return v >> self.low + self.start & (1 << self.rank) - 1, start, start + (v >> self.id & (1 << self.span) - 1), v & (1 << self.id) - 1
+
+
+def folded(edges: np.ndarray, unit: str, kind: int, bits: Bits, scores: list[float], byte0: int, unknown: int) -> list[int]:
+    """The ids of a unit from its lattice's edges, for units of any length."""
+    rank, start, end, ids = (x.tolist() for x in bits.parts(np.asarray(edges, np.int64)))
+    n = len(unit)
+    known = {(s, e): k for k, (s, e) in enumerate(zip(start, end))}
+    if kind == UNIGRAM:
+        best, back = [0.0] + [-1e300] * n, [0] * (n + 1)
+        by_end: list[list[int]] = [[] for _ in range(n + 1)]
+        for k in sorted(range(len(start)), key=lambda k: start[k]):
+            by_end[end[k]].append(k)
+        for e in range(1, n + 1):
+            paths = [(start[k], best[start[k]] + scores[rank[k]]) for k in by_end[e]]
+            if (e - 1, e) not in known:
+                paths.append((e - 1, best[e - 1] + min(scores) - 10))
+            for s, x in paths:
+                if x > best[e]:
+                    best[e], back[e] = x, s
+        cuts = [n]
+        while cuts[-1]:
+            cuts.append(back[cuts[-1]])
+        cuts.reverse()
+    else:
+        to, since = list(range(1, n + 1)), list(range(-1, n))  # ends of the parts by their starts, and starts by their ends
+        heap: list[tuple[int, int, int, int]] = []
+
+        def see(s: int, m: int, e: int) -> None:
+            k = known.get((s, e))
+            if k is not None:
+                heapq.heappush(heap, (rank[k], s, m, e))
+
+        for s in range(n - 1):
+            see(s, s + 1, s + 2)
+        while heap:
+            _, s, m, e = heapq.heappop(heap)
+            if to[s] != m or m >= n or to[m] != e:  # one of the two has merged meanwhile
+                continue
+            to[s], to[m], since[e] = e, 0, s
+            if s:
+                see(since[s], s, e)
+            if e < n:
+                see(s, e, to[e])
+        cuts = [0]
+        while cuts[-1] < n:
+            cuts.append(to[cuts[-1]])
+    out: list[int] = []
+    for s, e in zip(cuts, cuts[1:]):
+        k = known.get((s, e))
+        if k is not None:
+            out.append(ids[k])
+        elif byte0 >= 0:
+            out += [byte0 + b for b in unit[s:e].replace(" ", SPACE).encode("utf-8", "replace")]
+        else:
+            out.append(unknown)
+    return out
 
 
 def _fold(kind: int, least: float) -> str:
@@ -186,24 +299,20 @@ def _fold(kind: int, least: float) -> str:
     return f"filter(aggregate(sequence(1, greatest(n - 1, 1)), sequence(0, n), (b, _) -> CASE WHEN b[0] < 0 OR size(b) < 3 THEN b ELSE transform(array({pairs}), c -> {merge})[0] END), x -> x >= 0)"
 
 
-#: An edge of a BPE lattice in one number, so that edges sort as merges do: rank, start (6 bits), length (6 bits), id (22 bits).
-_START, _SPAN = "cast(shiftright(v, 28) & 63 AS int)", "cast(shiftright(v, 22) & 63 AS int)"
-_BIT = f"shiftleft(1L, {_SPAN})"
-
-
-def _window(cuts: str) -> str:
-    """The cuts (bits of a number) from the start of edge v to its end."""
-    return f"shiftright({cuts}, {_START}) & (shiftleft(2L, {_SPAN}) - 1)"
-
-
-def _one_pass() -> str:
-    """SQL that takes the edges in the order of their merges, once, and returns the cuts that stay; -1 if that can't tell.
+def _one_pass(bits: Bits) -> str:
+    """SQL that takes the edges of several characters (the first _m) in the order of their merges, once, and returns the cuts that stay; -1 if that can't tell.
 
     An edge whose ends are cuts with one cut between them is merged now. If an end is gone
     it never can be. If there are more cuts between, it may become possible later, out of
-    order: such words (hardly any, as pieces are made of earlier ones) are replayed merge by merge."""
-    step = f"transform(array({_window('c')}), w -> CASE WHEN w < {_BIT} OR bit_count(w) < 3 THEN c WHEN bit_count(w) = 3 THEN c - shiftleft(w - 1 - {_BIT}, {_START}) ELSE -1L END)[0]"
-    return f"aggregate(_e, shiftleft(2L, n) - 1, (c, v) -> CASE WHEN c < 0 OR v & {63 << 22} = {1 << 22} OR shiftright(c, {_START}) & 1 = 0 THEN c ELSE {step} END)"
+    order: such units (hardly any, as pieces are made of earlier ones) are replayed merge by merge."""
+    far = f"shiftleft(1L, {bits.sql_span})"
+    step = f"transform(array({_window('c', bits)}), w -> CASE WHEN w < {far} OR bit_count(w) < 3 THEN c WHEN bit_count(w) = 3 THEN c - shiftleft(w - 1 - {far}, {bits.sql_start}) ELSE -1L END)[0]"
+    return f"CASE WHEN _m = 0 THEN shiftleft(2L, n) - 1 ELSE aggregate(slice(_e, 1, _m), shiftleft(2L, n) - 1, (c, v) -> CASE WHEN c < 0 OR shiftright(c, {bits.sql_start}) & 1 = 0 THEN c ELSE {step} END) END"
+
+
+def _window(cuts: str, bits: Bits) -> str:
+    """The cuts (bits of a number) from the start of edge v to its end."""
+    return f"shiftright({cuts}, {bits.sql_start}) & (shiftleft(2L, {bits.sql_span}) - 1)"
 
 
 def _spelt(pieces: "Pieces", word: str, cuts: str) -> str:
@@ -217,129 +326,143 @@ def _spelt(pieces: "Pieces", word: str, cuts: str) -> str:
     return f"flatten(transform(sequence(0, size({cuts}) - 2), i -> CASE WHEN {edge} IS NOT NULL THEN array({edge}.id) ELSE {other} END))"
 
 
-def lattice(distinct: DataFrame, pieces: Pieces, word: str = "word") -> DataFrame:
-    """distinct (already dealt out by `word`, a row per word) with ids: array<int>."""
+def lattice(distinct: DataFrame, pieces: Pieces, word: str = "word", reach: str | None = None) -> DataFrame:
+    """distinct (already dealt out by `word`, a row per word) with ids: array<int>, or for words of more than SHORT characters edges: array<long>.
+
+    reach: a column made by Grams.reach(), which spares substrings that are no pieces; it isn't returned."""
     spark = distinct.sparkSession
-    others = [c for c in distinct.columns if c != word]
-    order = {v: r for r, v in enumerate(sorted({v for _, _, v in pieces.rows}, reverse=True))}  # the best score's rank is 0
-    table = F.broadcast(spark.createDataFrame([(*row, order[row[2]]) for row in pieces.rows], "_piece string, _id int, score double, rank int").withColumn("_h", F.xxhash64("_piece")))  # as many rows as the model has
-    shown = F.regexp_replace(F.col(word), " ", SPACE)
+    others = [c for c in distinct.columns if c not in (word, reach)]
+    bits = Bits(pieces)
+    order = {x: r for r, x in enumerate(sorted({x for _, _, x in pieces.rows}, reverse=True))}
+    rows = [(*row, order[row[2]]) for row in pieces.rows]
+    table = F.broadcast(spark.createDataFrame(rows, "_piece string, _id int, score double, rank int").withColumn("_h", F.xxhash64("_piece")))  # as many rows as the model has
     n = F.length(word)
-    grams = Grams(pieces.rows)
-
-    def spotted(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, 4096):
-                part = b.slice(lo, 4096)
-                flat, off = grams.spots(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(off), pa.array(flat))], names=[*part.schema.names, "_x"])
-
-    # where substrings start and how long they are, in one number: the strings themselves are cut in generated code
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in distinct.select(word, *others).schema)
-    edges = distinct.select(word, *others).mapInArrow(spotted, schema + ", _x array<int>").select(word, *others, shown.alias("_w"), F.explode("_x").alias("_x"))
-    s, k = F.shiftright("_x", 16), F.col("_x").bitwiseAND(65535)
-    edges = edges.select(word, *others, s.alias("s"), k.alias("k"), F.col("_w").substr(s + 1, k).alias("piece"))
+    # blocks of a word with what pieces may reach beyond, then starts, then lengths: a substring is cut from a block
+    block = F.explode(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")))
+    cut = distinct.select(word, *others, *([reach] if reach else []), block.alias("_b"))
+    at = F.col("_b") * BLOCK
+    far = F.col(reach).substr(at + 1, F.lit(BLOCK)) if reach else F.lit("")
+    cut = cut.select(word, *others, at.alias("_o"), (n - at).alias("_n"), far.alias("_r"), F.regexp_replace(F.col(word).substr(at + 1, F.lit(BLOCK + pieces.longest)), " ", SPACE).alias("_w"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.col("_n")) - 1)).alias("_i"))
+    most = F.ascii(F.col("_r").substr(F.col("_i") + 1, F.lit(1))) - 64 if reach else F.least(F.lit(pieces.longest), F.col("_n") - F.col("_i"))
+    cut = cut.select("*", F.explode(F.sequence(F.lit(1), most)).alias("k"))
+    edges = cut.select(word, *others, (F.col("_o") + F.col("_i")).alias("s"), "k", F.col("_w").substr(F.col("_i") + 1, F.col("k")).alias("piece"))
     # the join's key is a number, which is found faster; the strings are compared where it is found
-    edges = edges.join(table, F.xxhash64("piece") == F.col("_h"), "left").withColumn("id", F.when(F.col("piece") == F.col("_piece"), F.col("_id")))
-    # a word whose substrings are no pieces keeps its first row, without an edge
-    edges = edges.where(F.col("id").isNotNull() | ((F.col("s") == 0) & (F.col("k") == 1)))
-    held = [F.first(c).alias(c) for c in others]
+    edges = edges.join(table, F.xxhash64("piece") == F.col("_h"), "left").withColumn("_id", F.when(F.col("piece") == F.col("_piece"), F.col("_id")))
+    first = (F.col("s") == 0) & (F.col("k") == 1)
+    # a word whose substrings are no pieces keeps its first row, without an edge; that row alone carries the other columns
+    edges = edges.where(F.col("_id").isNotNull() | first)
+    held = [F.first(F.when(first, F.col(c)), True).alias(c) for c in others]
+    number, short = F.expr(bits.sql), n <= SHORT
     if pieces.kind == UNIGRAM:
-        edge = F.when(F.col("id").isNotNull(), F.struct((F.col("s") * 65536 + F.col("s") + F.col("k")).alias("at"), F.struct("id", "score").alias("v")))
-        whole = edges.groupBy(word).agg(*held, F.map_from_entries(F.collect_list(edge)).alias("_m")).select(word, *others, "_m", n.alias("n"), F.lit(pieces.longest).alias("_k"))
-        return whole.select(word, *others, "_m", F.expr(_fold(pieces.kind, pieces.least)).alias("_b")).select(word, *others, F.expr(_spelt(pieces, word, "_b")).alias("ids"))
-    edge = F.expr("shiftleft(cast(rank AS bigint), 34) + shiftleft(cast(s AS bigint), 28) + shiftleft(cast(k AS bigint), 22) + id")
-    whole = edges.groupBy(word).agg(*held, F.sort_array(F.collect_list(edge)).alias("_e")).select(word, *others, "_e", n.alias("n"))
-    kept = whole.select(word, *others, "_e", "n", F.expr(_one_pass()).alias("_p"))
-    formed = f"filter(_e, v -> _p > 0 AND shiftright(_p, {_START}) & 1 = 1 AND {_window('_p')} = {_BIT} + 1)"
-    kept = kept.select(word, *others, "_e", "n", "_p", F.expr(f"sort_array(transform({formed}, v -> v & {(1 << 34) - 1}))").alias("_f"))
-    entries = f"transform(_e, v -> named_struct('at', {_START} * 65536 + {_START} + {_SPAN}, 'v', named_struct('id', cast(v & {(1 << 22) - 1} AS int), 'score', -cast(shiftright(v, 34) AS double))))"
+        edge = F.when(short & F.col("_id").isNotNull(), F.struct((F.col("s") * 65536 + F.col("s") + F.col("k")).alias("at"), F.struct(F.col("_id").alias("id"), "score").alias("v")))
+        whole = edges.groupBy(word).agg(*held, F.collect_list(edge).alias("_l"), F.collect_list(F.when(~short, number)).alias("_e"))
+        whole = whole.select(word, *others, n.alias("n"), "_e", F.map_from_entries("_l").alias("_m"), F.lit(pieces.longest).alias("_k"))
+        told = whole.select(word, *others, "n", "_e", "_m", F.when(short, F.expr(_fold(pieces.kind, pieces.least))).alias("_b"))
+        return told.select(word, *others, F.when(short, F.expr(_spelt(pieces, word, "_b"))).alias("ids"), F.when(~short, F.col("_e")).alias("edges"))
+    several = F.sum(F.when((F.col("k") > 1) & F.col("_id").isNotNull(), 1).otherwise(0)).cast("int")
+    whole = edges.groupBy(word).agg(*held, several.alias("_m"), F.sort_array(F.collect_list(number)).alias("_e")).select(word, *others, "_m", "_e", n.alias("n"))
+    kept = whole.select(word, *others, "_m", "_e", "n", F.when(short, F.expr(_one_pass(bits))).alias("_p"))
+    # the edges between neighbouring cuts; they spell the unit if there are as many as cuts leave room for
+    one = f"filter(slice(_e, _m + 1, size(_e)), v -> shiftright(_p, {bits.sql_start}) & 3 = 3)"
+    formed = f"CASE WHEN _m = 0 THEN {one} ELSE concat(filter(slice(_e, 1, _m), v -> {_window('_p', bits)} = shiftleft(1L, {bits.sql_span}) + 1), {one}) END"
+    kept = kept.select(word, *others, "_e", "n", "_p", F.when(short, F.expr(f"sort_array(transform({formed}, v -> v & {(1 << bits.low + bits.start) - 1}L))")).alias("_f"))
+    entries = f"transform(_e, v -> named_struct('at', {bits.sql_start} * 65536 + {bits.sql_start} + {bits.sql_span}, 'v', named_struct('id', {bits.sql_id}, 'score', -cast({bits.sql_rank} AS double))))"
     replayed = f"transform(array(map_from_entries({entries})), _m -> transform(array({_fold(BPE, 0.0)}), _b -> {_spelt(pieces, word, '_b')})[0])[0]"
-    return kept.select(word, *others, F.expr(f"CASE WHEN size(_f) = bit_count(_p) - 1 AND _p > 0 THEN transform(_f, v -> cast(v & {(1 << 22) - 1} AS int)) ELSE {replayed} END").alias("ids"))
+    ids = f"CASE WHEN n > {SHORT} THEN NULL WHEN size(_f) = bit_count(_p) - 1 AND _p > 0 THEN transform(_f, v -> {bits.sql_id}) ELSE {replayed} END"
+    return kept.select(word, *others, F.expr(ids).alias("ids"), F.when(~short, F.col("_e")).alias("edges"))
+
 
+def encode(docs: DataFrame, path: str, text: str = "text", decoded: str | None = None) -> DataFrame:
+    """docs with ids: array<int>, and what they spell in column `decoded`, if it's named.
 
-def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGEST, decoded: str | None = None) -> DataFrame:
-    """docs with ids: array<int>, and what they spell in column `decoded`, if it's named. docs must come straight from files or be written first: its partitions are read twice."""
+    docs must come straight from files or be written first: its partitions are read twice, and must be the same both times; if they aren't, the job fails."""
     spark = docs.sparkSession
     pieces = Pieces(path)
-
+    docs, moved = common.aside(docs, "ids", *([decoded] if decoded else []))
+    text = {c: free for free, c in moved.items()}.get(text, text)
     if any("\n" in p for p, *_ in pieces.rows):
         raise ValueError("pieces that hold line ends aren't supported")
-    if longest > 62:
-        raise ValueError("cuts are bits of a number: words of more than 62 characters go to the library")
-    grams = Grams(pieces.rows)
+    grams, bits, kind, scores = Grams(pieces.rows), Bits(pieces), pieces.kind, pieces.distinct
+    byte0, unknown, longest = pieces.byte0, pieces.unknown, pieces.longest
     spelt = pieces.text if decoded else None
 
     def found(batches):
         part, known, seen = TaskContext.get().partitionId(), set(), set()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                new = set()
-                for t in b.column(0).slice(lo, 512).to_pylist():
-                    new.update(keys(t))
-                new -= known
-                for units in grams.cut([" " + w for w in new]):
-                    seen.update(units)
-                if len(known) > 200_000:
+                new = set().union(*map(keys, b.column(0).slice(lo, 512).to_pylist())) - known
+                words = [" " + w for w in new]
+                units = grams.cut(words)
+                seen.update([w for k, w in enumerate(words) if k not in units])
+                seen.update(*units.values())
+                if len(known) > 500_000:
                     known.clear()
                 known |= new
-        seen = [u for u in seen if len(u) <= longest]
+        del known
+        seen = list(seen)
         for lo in range(0, len(seen), 1 << 16):
-            w = pa.array(seen[lo: lo + (1 << 16)], pa.string())
-            yield pa.RecordBatch.from_arrays([w, pa.array(np.full(len(w), part, np.int32))], names=["word", "part"])
+            w = seen[lo: lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), grams.reach(w, longest), pa.array(np.full(len(w), part, np.int32))], names=["word", "reach", "part"])
         common.trim()
 
-    # a word is in each partition once, so its list is no longer than the number of partitions
-    # a lattice has some fifty times its word's rows, so the words are dealt out more finely than their size asks for
-    rows = docs.select(text).mapInArrow(found, "word string, part int").repartition(8 * common.shuffle_partitions(spark), "word")
-    known = lattice(rows.groupBy("word").agg(F.collect_list("part").alias("parts")), pieces).select("word", "ids", F.explode("parts").alias("part"))
+    # a unit is in each partition once, so its list is no longer than the number of partitions
+    # a lattice has some fifty times its unit's rows, so the units are dealt out more finely than their size asks for
+    rows = docs.select(text).mapInArrow(found, "word string, reach string, part int").repartition(8 * common.shuffle_partitions(spark), "word")
+    units = rows.groupBy("word", "reach").agg(F.collect_list("part").alias("parts"))
+    known = lattice(units, pieces, reach="reach").select("word", "ids", "edges", F.explode("parts").alias("part"))
     folder = common.fresh_path(spark, "pieces")
     setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(setting)
-    try:  # such small partitions are grouped in memory; by default a sort takes over at 128 words
+    try:  # such small partitions are grouped in memory; by default a sort takes over at 128 units
         spark.conf.set(setting, "100000")
         known.repartition("part").write.partitionBy("part").parquet(folder)
     finally:
         spark.conf.set(setting, before)
-    names = [c for c in docs.columns if c not in ("ids", decoded)]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", ids array<int>" + (f", `{decoded}` string" if decoded else "")
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", ids array<int>" + (f", `{decoded}` string" if decoded else "")
 
     def strung(batches):
-        import sentencepiece
         from pyarrow import fs
         import pyarrow.parquet as pq
 
         part, table, whole = TaskContext.get().partitionId(), None, {}  # whole: ids of words, so that they are cut once
-        library, spelling = None, np.array([*spelt], object) if decoded else None
+        spelling = np.array([*spelt], object) if decoded else None
 
-        def long(unit: str) -> bytes:
-            nonlocal library
-            library = library or sentencepiece.SentencePieceProcessor(model_file=path)
-            # the library's dummy prefix stands for a unit's first space; else it and a line end, which nothing joins, are put before it
-            ids = library.encode(unit[1:]) if unit[0] == " " else library.encode("\n" + unit)[2:]
-            return np.array(ids, "<i4").tobytes()
+        def load() -> dict[str, bytes]:
+            out: dict[str, bytes] = {}
+            system, root = fs.FileSystem.from_uri(folder)
+            if system.get_file_info(f"{root}/part={part}").type == fs.FileType.NotFound:
+                return out
+            for f in system.get_file_info(fs.FileSelector(f"{root}/part={part}")):
+                if f.path.endswith(".parquet"):
+                    with system.open_input_file(f.path) as source:
+                        for rows in pq.ParquetFile(source).iter_batches(batch_size=1 << 16, columns=["word", "ids", "edges"]):
+                            units, long = rows.column("word").to_pylist(), rows.column("edges")
+                            flat, off = rows.column("ids").values.to_numpy().astype("<i4"), rows.column("ids").offsets.to_numpy()
+                            raw, off = flat.tobytes(), (off * 4).tolist()
+                            out.update(zip(units, [raw[x:y] for x, y in zip(off[:-1], off[1:])]))
+                            for k in np.flatnonzero(long.is_valid().to_numpy(zero_copy_only=False)):
+                                edges = long[int(k)].values.to_numpy()
+                                out[units[k]] = np.array(folded(edges, units[k], kind, bits, scores, byte0, unknown), "<i4").tobytes()
+            return out
 
         for b in batches:
-            if table is None:
-                system, root = fs.FileSystem.from_uri(folder)
-                table = {}
-                if system.get_file_info(f"{root}/part={part}").type != fs.FileType.NotFound:
-                    for f in system.get_file_info(fs.FileSelector(f"{root}/part={part}")):
-                        if f.path.endswith(".parquet"):
-                            with system.open_input_file(f.path) as source:
-                                for rows in pq.ParquetFile(source).iter_batches(batch_size=1 << 16, columns=["word", "ids"]):
-                                    flat, off = rows.column("ids").values.to_numpy().astype("<i4"), rows.column("ids").offsets.to_numpy()
-                                    raw, off = flat.tobytes(), off * 4
-                                    table.update(zip(rows.column("word").to_pylist(), [raw[x:y] for x, y in zip(off[:-1], off[1:])]))
+            table = load() if table is None else table
             for lo in range(0, b.num_rows, 512):
                 rows = b.slice(lo, 512)
                 parts = [keys(t) for t in rows.column(text).to_pylist()]
                 new = list(set().union(*parts).difference(whole))
-                for w, units in zip(new, grams.cut([" " + w for w in new])):
-                    whole[w] = b"".join([table[u] if len(u) <= longest else long(u) for u in units])
+                words = [" " + w for w in new]
+                units = grams.cut(words)
+                try:
+                    for k, (w, spaced) in enumerate(zip(new, words)):
+                        whole[w] = b"".join([table[u] for u in units[k]]) if k in units else table[spaced]
+                except KeyError as e:
+                    raise RuntimeError(f"unit {e} wasn't in partition {part} when the units were gathered: write the input first") from None
                 out = [b"".join([whole[w] for w in mine]) for mine in parts]
-                del parts, new
-                if len(whole) > 200_000:
+                del parts, new, words, units
+                if len(whole) > 300_000:
                     whole.clear()
                 off = np.concatenate([[0], np.cumsum([len(x) // 4 for x in out])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(out), "<i4")))
@@ -348,7 +471,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", longest: int = LONGES
         del table, whole
         common.trim()
 
-    return docs.select(*names).mapInArrow(strung, schema)
+    return docs.mapInArrow(strung, schema)
 
 
 def _told(ids: pa.ListArray, spelling: np.ndarray) -> pa.Array:
@@ -359,8 +482,9 @@ def _told(ids: pa.ListArray, spelling: np.ndarray) -> pa.Array:
 
 def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """rows with the text that ids spell, without the dummy prefix; invalid bytes become U+FFFD."""
-    names = [c for c in rows.columns if c != out]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*names).schema) + f", `{out}` string"
+    rows, _ = common.aside(rows, out)
+    names = rows.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + f", `{out}` string"
     spelt = Pieces(path).text
     shared = rows.sparkSession.sparkContext.broadcast(spelt)
 
@@ -371,7 +495,7 @@ def decode(rows: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -
                 part = b.slice(lo, 1024)
                 yield pa.RecordBatch.from_arrays([*part.columns, _told(part.column(ids), text)], names=[*names, out])
 
-    return rows.select(*names).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def model_path() -> str:

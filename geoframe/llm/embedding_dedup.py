@@ -8,12 +8,17 @@ the threshold are done with; all others are recomputed in double precision, and
 cosine alone decides.
 
 Only vectors with equal labels (and dimensions) are compared. Equal vectors are one class
-with a number of copies. A label's classes are dealt into blocks by hash, and pairs of
-blocks are tiles: no task holds a label, and no pair leaves a tile, only the links and
-the least reachable id of each member.
+with a number of copies; its node is the least vec_id together with two hashes of label and
+vector, so different vectors may share a vec_id. A label's classes are dealt into blocks by
+hash, as large as `tile_bytes` allow, and pairs of blocks are tiles: no task holds a label,
+and no pair leaves a tile, only the links and the least reachable node of each member.
+Vectors are shuffled in the type that they have.
 
 Edge cases: vectors that are null, empty or zero, or hold null or non-finite components, and
-those without a label, link with nothing. Rows that share a vec_id are separate vectors.
+those without a label, link with nothing. Rows that share a vec_id are separate vectors, and
+count each other among their links if they link. A null vec_id ranks first. A cosine equal to
+the threshold links. Only vec_id, embedding and label are read, so other columns may have any
+names. Dimensions may differ; a tile holds as many vectors as its bytes allow at any length.
 """
 
 from __future__ import annotations
@@ -26,7 +31,7 @@ from pyspark.sql import functions as F
 
 from geoframe.llm import common
 
-THRESHOLD, WIDTH, BLOCK = 0.93, 6.0, 1024
+THRESHOLD, WIDTH, TILE_BYTES = 0.93, 6.0, 8 << 20
 
 
 def rotation(d: int) -> np.ndarray:
@@ -89,16 +94,20 @@ def tile(ids, copies, side, vectors, codes, factor, threshold=THRESHOLD, width=W
             return links, root
 
 
-def links(vectors: DataFrame, threshold: float = THRESHOLD, width: float = WIDTH, block: int = BLOCK) -> DataFrame:
+def links(vectors: DataFrame, threshold: float = THRESHOLD, width: float = WIDTH, tile_bytes: int = TILE_BYTES) -> DataFrame:
     """vec_id, n_links, component_id and kept, a row per vector (vec_id, embedding, label)."""
-    v = vectors.select("vec_id", "embedding", "label").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    v = vectors.select("vec_id", "embedding", "label")
+    if v.schema["embedding"].dataType.elementType.typeName() != "float":
+        v = v.withColumn("embedding", F.col("embedding").cast("array<double>"))
+    kind = v.schema["embedding"].dataType.simpleString()
     rank = F.coalesce(F.col("vec_id").cast("long"), F.lit(-2**63))
     fits = F.col("label").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
     key = ["label", "d", "h1", "h2"]
     fits = F.coalesce(fits, F.lit(False))
     v = v.select(rank.alias("id"), F.when(fits, F.col("label")).alias("label"), F.when(fits, F.size("embedding")).alias("d"),
-                 F.when(fits, F.xxhash64("embedding")).alias("h1"), F.when(fits, F.xxhash64(F.lit(1), "embedding")).alias("h2"), "embedding")
-    classes = v.where(F.col("h1").isNotNull()).groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
+                 F.when(fits, F.xxhash64("label", "embedding")).alias("h1"), F.when(fits, F.xxhash64(F.lit(1), "label", "embedding")).alias("h2"), "embedding")
+    node = F.struct(F.min("id").alias("id"), F.first("h1").alias("h1"), F.first("h2").alias("h2"))
+    classes = v.where(F.col("h1").isNotNull()).groupBy(*key).agg(node.alias("rep"), F.count("*").alias("copies"), F.first("embedding").alias("embedding"))
 
     def code(batches):
         for b in batches:
@@ -112,29 +121,34 @@ def links(vectors: DataFrame, threshold: float = THRESHOLD, width: float = WIDTH
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(codes, pa.binary()), pa.array(factor)], names=[*b.schema.names, "code", "factor"])
 
     types = dict(v.dtypes)
-    coded = classes.mapInArrow(code, f"label {types['label']}, d int, h1 long, h2 long, rep long, copies long, embedding array<double>, code binary, factor double")
+    coded = classes.mapInArrow(code, f"label {types['label']}, d int, h1 long, h2 long, rep struct<id:bigint,h1:bigint,h2:bigint>, copies long, embedding {kind}, code binary, factor double")
     coded = common.written(common.few_files(coded, common.size_in_bytes(vectors)), "codes")
 
-    groups = coded.groupBy("label", "d").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    block = F.greatest(F.lit(1), F.least(F.lit(16384), F.floor(F.lit(tile_bytes) / (8 * F.col("d")))))
+    groups = coded.groupBy("label", "d").agg(F.count("*").alias("n")).select("label", "d", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
     # a label may hold a third of all rows; the planner broadcasts the labels of several blocks if they are few, or splits the skewed join
     several = groups.where("blocks > 1")
     placed = coded.join(several, ["label", "d"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep", "h1"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("t", F.explode(F.expr("transform(sequence(0, blocks - 1), x -> struct(least(own, x) AS i, greatest(own, x) AS j))")))
     side = F.when(F.col("t.i") == F.col("t.j"), 2).when(F.col("own") == F.col("t.i"), 0).otherwise(1)
-    work = placed.select("label", "d", F.col("t.i").alias("i"), F.col("t.j").alias("j"), side.alias("side"), "rep", "copies", "embedding", "code", "factor")
+    work = placed.select("label", "d", F.col("t.i").alias("i"), F.col("t.j").alias("j"), side.alias("side"), "rep.id", F.col("rep.h1").alias("r1"), F.col("rep.h2").alias("r2"), "copies", "embedding", "code", "factor")
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
-        ids = g["rep"].to_numpy()
-        n, root = tile(ids, g["copies"].to_numpy(), g["side"].to_numpy(), np.stack(g["embedding"]), np.stack([np.frombuffer(c, np.uint8) for c in g["code"]]), g["factor"].to_numpy(), threshold, width)
+        nodes = g[["id", "r1", "r2"]].to_numpy()
+        order = np.lexsort(nodes.T[::-1])
+        place = np.argsort(order)  # members by their rank
+        n, root = tile(place, g["copies"].to_numpy(), g["side"].to_numpy(), np.stack(g["embedding"]).astype(np.float64), np.stack([np.frombuffer(c, np.uint8) for c in g["code"]]), g["factor"].to_numpy(), threshold, width)
         hit = n > 0
-        return pd.DataFrame({"rep": ids[hit], "links": n[hit], "root": root[hit]})
+        own, least = nodes[hit], nodes[order[root[hit]]]
+        return pd.DataFrame({"id": own[:, 0], "r1": own[:, 1], "r2": own[:, 2], "links": n[hit], "l0": least[:, 0], "l1": least[:, 1], "l2": least[:, 2]})
 
-    found = work.groupBy("label", "d", "i", "j").applyInPandas(run, "rep long, links long, root long")
-    found = common.written(common.few_files(found, common.size_in_bytes(vectors)), "links")
+    found = work.groupBy("label", "d", "i", "j").applyInPandas(run, "id long, r1 long, r2 long, links long, l0 long, l1 long, l2 long")
+    whole = lambda *c: F.struct(*[F.col(x).alias(n) for x, n in zip(c, ("id", "h1", "h2"))])
+    found = common.written(common.few_files(found.select(whole("id", "r1", "r2").alias("rep"), "links", whole("l0", "l1", "l2").alias("root")), common.size_in_bytes(vectors)), "links")
     comp = common.components(found.where("rep <> root").select(F.col("rep").alias("u"), F.col("root").alias("v")))
     told = coded.select(*key, "rep", "copies").join(found.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left").join(comp, F.col("rep") == F.col("node"), "left")
-    told = told.select(*key, "copies", F.coalesce("comp", "rep").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    told = told.select(*key, "copies", F.coalesce("comp", "rep")["id"].alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     out = common.with_lookup(v.select("id", *key), told, key, "copies", F.col("id"))
     real = lambda c: F.when(c != -2**63, c)
     out = out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))

@@ -3,18 +3,20 @@
 A word's input is the sum of its own hashed embedding, those of its first four and five
 bytes, and the mean of its characters' trigram embeddings (with the word's edges). Windows
 of WINDOW words, each starting STEP words after the one before, cover the whole text. In
-each window two GRUs run over the words, one from either side; attention pools their states
-together with the words' inputs, and a logistic unit scores the pool. A text scores as its most toxic window does.
+each window two GRUs run over the words, one from either side; attention pools their states,
+and a logistic unit scores the pool. Nothing reaches the score but through the states, and
+all weights start at random. A text scores as its most toxic window does.
 
 Labels are of whole texts, so training looks for the telling window: in the first round it
 is the one whose features have the largest log-odds in the labelled texts, then the one
 that the model scores highest. It learns that window with the text's label, and other
 windows of clean texts as clean. Training takes at most `most` labelled texts of each class,
-drawn by hash; scoring has no such bound.
+drawn by hash, of at most `longest` characters each; scoring has no such bounds.
 
 Edge cases: null and empty texts are scored as a window without words. Without labels of
 both classes every text scores 0. Several labels of one doc_id count as toxic if any is;
-null labels aren't learned from. Repeated rows score alike.
+null labels aren't learned from. Repeated rows score alike. Input columns called score or
+predicted are returned as `<name>_in`.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ from geoframe.llm import common
 
 WINDOW, STEP = 24, 12
 WORD_ROWS, EDGE_ROWS, GRAM_ROWS = 1 << 16, 1 << 15, 1 << 15
-DIM, HIDDEN = 12, 8
-MOST = 1500
+DIM, HIDDEN = 12, 12
+MOST, LONGEST = 1500, 200_000
 
 _BREAK = np.ones(256, bool)
 _BREAK[128:] = False
@@ -108,20 +110,26 @@ class Words:
         return np.where(at < self.count[text][:, None], self.first[text][:, None] + at, self.n), text
 
 
+def gathered(index: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different indexes, and the sum of the rows of each."""
+    order = np.argsort(index, kind="stable")
+    index = index[order]
+    begin = np.flatnonzero(np.concatenate([[True], index[1:] != index[:-1]]))
+    return index[begin], np.add.reduceat(rows[order], begin, axis=0)
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
 
 
 class Model:
-    def __init__(self, seed: int = 6):
+    def __init__(self, seed: int = 6, weights: dict | None = None):
         r = np.random.RandomState(seed)
         make = lambda *s: (r.standard_normal(s) * 0.3).astype(np.float32)
-        self.p = {"word": make(WORD_ROWS, DIM) * 0.03, "four": make(EDGE_ROWS, DIM) * 0.03, "five": make(EDGE_ROWS, DIM) * 0.03, "gram": make(GRAM_ROWS, DIM) * 0.03,
-                  "att": make(2 * HIDDEN + DIM) * 0.1, "out": make(2 * HIDDEN + DIM) * 0.1, "bias": np.full(1, -2.5, np.float32)}
-        # a word's first input starts as its log-odds: attention and score start by following it
-        self.p["att"][2 * HIDDEN] = self.p["out"][2 * HIDDEN] = 1.0
-        for d in "fb":
-            self.p |= {f"x{d}": make(DIM, 3 * HIDDEN), f"h{d}": make(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
+        self.p = weights or {"word": make(WORD_ROWS, DIM) * 0.2, "four": make(EDGE_ROWS, DIM) * 0.2, "five": make(EDGE_ROWS, DIM) * 0.2, "gram": make(GRAM_ROWS, DIM) * 0.2,
+                             "att": make(2 * HIDDEN), "out": make(2 * HIDDEN), "bias": np.full(1, -1.0, np.float32),
+                             # of the GRU from the left, and of that from the right: inputs, states, constants
+                             "x": make(2, DIM, 3 * HIDDEN), "h": make(2, HIDDEN, 3 * HIDDEN), "c": np.zeros((2, 1, 3 * HIDDEN), np.float32)}
 
     def inputs(self, w: Words, lo: int = 0, hi: int | None = None) -> np.ndarray:
         """A row per word from lo to hi, and one for no word."""
@@ -144,66 +152,61 @@ class Model:
         return out
 
     def forward(self, x: np.ndarray, at: np.ndarray, none: int, keep: bool = False):
-        """Logits of windows `at` over word inputs x; keep: also what backward() needs."""
+        """Logits of windows `at` over word inputs x; keep: also what backward() needs. The two GRUs step together, one from either end."""
         p, n = self.p, len(at)
-        states, tape = np.empty((n, WINDOW, 2 * HIDDEN + DIM), np.float32), {}
-        states[:, :, 2 * HIDDEN:] = x[at]
-        here = at != none
-        for d in "fb":
-            xs = x @ p[f"x{d}"] + p[f"c{d}"]
-            h = np.zeros((n, HIDDEN), np.float32)
-            for t in range(WINDOW) if d == "f" else reversed(range(WINDOW)):
-                g = xs[at[:, t]]
-                u = h @ p[f"h{d}"]
-                gates = sigmoid(g[:, :2 * HIDDEN] + u[:, :2 * HIDDEN])
-                z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-                c = np.tanh(g[:, 2 * HIDDEN:] + r * u[:, 2 * HIDDEN:])
-                new = np.where(here[:, t, None], c + z * (h - c), h)
-                if keep:
-                    tape[d, t] = (h, z, r, c, u[:, 2 * HIDDEN:])
-                h = new
-                states[:, t, slice(0, HIDDEN) if d == "f" else slice(HIDDEN, 2 * HIDDEN)] = h
-        a = np.where(here, states @ p["att"], np.float32(-30))
-        a = np.exp(a - a.max(1, keepdims=True))
-        a /= a.sum(1, keepdims=True)
-        pool = np.einsum("nt,nth->nh", a, states)
+        xs = x @ p["x"] + p["c"]
+        both = np.stack([at, at[:, ::-1]])
+        here = both != none
+        h, states, tape = np.zeros((2, n, HIDDEN), xs.dtype), np.empty((2, WINDOW, n, HIDDEN), xs.dtype), []
+        for t in range(WINDOW):
+            g = np.stack([xs[0][both[0, :, t]], xs[1][both[1, :, t]]])
+            u = h @ p["h"]
+            gates = sigmoid(g[:, :, :2 * HIDDEN] + u[:, :, :2 * HIDDEN])
+            z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+            c = np.tanh(g[:, :, 2 * HIDDEN:] + r * u[:, :, 2 * HIDDEN:])
+            if keep:
+                tape.append((h, z, r, c, u[:, :, 2 * HIDDEN:]))
+            h = np.where(here[:, :, t, None], c + z * (h - c), h)
+            states[:, t] = h
+        states = np.concatenate([states[0], states[1, ::-1]], 2)  # place, window, state
+        a = np.where(here[0].T, states @ p["att"], np.float32(-30))
+        a = np.exp(a - a.max(0))
+        a /= a.sum(0)
+        pool = (a[:, :, None] * states).sum(0)
         logit = pool @ p["out"] + p["bias"]
-        return (logit, (states, tape, here, a, pool)) if keep else logit
+        return (logit, (states, tape, both, here, a, pool)) if keep else logit
 
     def backward(self, x, at, kept, d_logit) -> tuple[dict, np.ndarray]:
         """Gradients of the parameters but the embeddings, and of the word inputs."""
-        p, (states, tape, here, a, pool) = self.p, kept
+        p, (states, tape, both, here, a, pool) = self.p, kept
         g = {"out": pool.T @ d_logit, "bias": d_logit.sum(keepdims=True)}
         d_pool = d_logit[:, None] * p["out"]
-        d_a = np.einsum("nh,nth->nt", d_pool, states)
-        d_states = a[:, :, None] * d_pool[:, None, :]
-        d_s = a * (d_a - (a * d_a).sum(1, keepdims=True)) * here
-        g["att"] = np.einsum("nt,nth->h", d_s, states)
-        d_states += d_s[:, :, None] * p["att"]
-        d_x = np.zeros_like(x)
-        np.add.at(d_x, at.ravel(), d_states[:, :, 2 * HIDDEN:].reshape(-1, DIM))
-        for d in "fb":
-            g[f"h{d}"], d_g = np.zeros_like(p[f"h{d}"]), np.zeros((len(at), WINDOW, 3 * HIDDEN), np.float32)
-            d_h = np.zeros((len(at), HIDDEN), np.float32)
-            for t in reversed(range(WINDOW)) if d == "f" else range(WINDOW):
-                h, z, r, c, u = tape[d, t]
-                d_h = d_h + d_states[:, t, slice(0, HIDDEN) if d == "f" else slice(HIDDEN, 2 * HIDDEN)]
-                on = here[:, t, None]
-                d_new = d_h * on
-                d_z = d_new * (h - c) * z * (1 - z)
-                d_c = d_new * (1 - z) * (1 - c * c)
-                d_r = d_c * u * r * (1 - r)
-                d_u = np.concatenate([d_z, d_r, d_c * r], 1)
-                d_g[:, t] = np.concatenate([d_z, d_r, d_c], 1)
-                g[f"h{d}"] += h.T @ d_u
-                d_h = d_h * ~on + d_new * z + d_u @ p[f"h{d}"].T
-            flat = d_g.reshape(-1, 3 * HIDDEN)
-            g[f"c{d}"] = flat.sum(0)
-            d_xs = np.zeros((len(x), 3 * HIDDEN), np.float32)
-            np.add.at(d_xs, at.ravel(), flat)
-            g[f"x{d}"] = x.T @ d_xs
-            d_x += d_xs @ p[f"x{d}"].T
-        return g, d_x
+        d_a = (d_pool * states).sum(2)
+        d_s = a * (d_a - (a * d_a).sum(0)) * here[0].T
+        g["att"] = np.einsum("tn,tnh->h", d_s, states)
+        d_states = a[:, :, None] * d_pool + d_s[:, :, None] * p["att"]
+        d_states = np.stack([d_states[:, :, :HIDDEN], d_states[::-1, :, HIDDEN:]])
+        g["h"], d_g = np.zeros_like(p["h"]), np.zeros((2, len(at), WINDOW, 3 * HIDDEN), states.dtype)
+        d_h = np.zeros((2, len(at), HIDDEN), states.dtype)
+        for t in reversed(range(WINDOW)):
+            h, z, r, c, u = tape[t]
+            d_h = d_h + d_states[:, t]
+            on = here[:, :, t, None]
+            d_new = d_h * on
+            d_z = d_new * (h - c) * z * (1 - z)
+            d_c = d_new * (1 - z) * (1 - c * c)
+            d_r = d_c * u * r * (1 - r)
+            d_u = np.concatenate([d_z, d_r, d_c * r], 2)
+            d_g[:, :, t] = np.concatenate([d_z, d_r, d_c], 2)
+            g["h"] += h.transpose(0, 2, 1) @ d_u
+            d_h = d_h * ~on + d_new * z + d_u @ p["h"].transpose(0, 2, 1)
+        g["c"] = d_g.sum((1, 2))[:, None]
+        d_xs = np.zeros((2, len(x), 3 * HIDDEN), d_g.dtype)
+        for d in (0, 1):
+            used, total = gathered(both[d].ravel(), d_g[d].reshape(-1, 3 * HIDDEN))
+            d_xs[d, used] = total
+        g["x"] = x.T @ d_xs
+        return g, (d_xs @ p["x"].transpose(0, 2, 1)).sum(0)
 
     def best(self, texts: list[str]) -> tuple[np.ndarray, Words, np.ndarray, np.ndarray]:
         """Of each text: its highest logit; the words, and the row and words of each window."""
@@ -214,7 +217,7 @@ class Model:
         np.maximum.at(top, text, logit)
         return top, w, at, (logit, text)
 
-    def train(self, texts: list[str], toxic: np.ndarray, rounds: int = 8, batch: int = 256) -> None:
+    def train(self, texts: list[str], toxic: np.ndarray, rounds: int = 8, batch: int = 256, drop: float = 0.25, speed: float = 0.2) -> None:
         r = np.random.RandomState(1)
         w = Words.joined(texts)
         at, text = w.windows()
@@ -233,13 +236,13 @@ class Model:
             no = np.bincount(held // len(texts), minlength=size) - yes
             odds = np.log((yes + 2) / (toxic.sum() + 4)) - np.log((no + 2) / ((1 - toxic).sum() + 4))
             odds = np.clip(odds, -1, 4) * (yes + no >= 3)
-            self.p[name][:, 0] += (0.4 * odds).astype(np.float32)
             common_rows[name] = (yes + no >= 3).astype(np.float32)  # rarer features would only be learned by heart
             if name != "gram":
                 score[:-1] += np.maximum(odds[row], 0)
         logit = np.concatenate([score[at[k: k + 4096]].max(1) for k in range(0, len(at), 4096)])
-        moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items()}
-        step, each = 0, max(16, 2 * len(texts) // batch)
+        moment = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.p.items() if k not in rows}
+        spent = {k: np.full(len(self.p[k]), 1e-6, np.float32) for k in rows}  # of each row of the embeddings: the squares of its gradients so far
+        step, each = 0, max(30, 3 * len(texts) // batch)
         for turn in range(rounds):
             if turn:
                 logit = self.logits(w, at)
@@ -256,9 +259,12 @@ class Model:
                 x = np.zeros((none + 1, DIM), np.float32)
                 grams = np.concatenate([np.arange(w.begin[k], w.begin[k] + w.size[k]) for k in sub])
                 gram_of = np.repeat(np.arange(none), w.size[sub])
-                share = (1 / w.size[sub]).astype(np.float32)
-                x[:-1] = self.p["word"][w.word[sub]] + self.p["four"][w.four[sub]] + self.p["five"][w.five[sub]]
-                np.add.at(x, gram_of, self.p["gram"][w.gram[grams]] * share[gram_of][:, None])
+                share = (1 / w.size[sub]).astype(np.float32)[:, None]
+                # some parts of a word's input are left out at random, so that none is relied on alone
+                kept_of = {name: (r.random_sample((none, 1)) > drop).astype(np.float32) / np.float32(1 - drop) for name in rows}
+                parts = {name: self.p[name][rows[name][0][sub]] for name in ("word", "four", "five")}
+                parts["gram"] = np.add.reduceat(self.p["gram"][w.gram[grams]], np.cumsum(w.size[sub]) - w.size[sub], axis=0) * share
+                x[:-1] = sum(parts[name] * kept_of[name] for name in rows)
                 logit_b, kept = self.forward(x, small, none, keep=True)
                 y = label[pick]
                 d = (1 / (1 + np.exp(-logit_b)) - y) / len(pick)
@@ -271,8 +277,12 @@ class Model:
                     m += 0.1 * (g[name] - m)
                     v += 0.001 * (g[name] ** 2 - v)
                     self.p[name] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-7)
-                for name, row, grad in (("word", w.word[sub], d_x[:-1]), ("four", w.four[sub], d_x[:-1]), ("five", w.five[sub], d_x[:-1]), ("gram", w.gram[grams], d_x[:-1][gram_of] * share[gram_of][:, None])):
-                    np.add.at(self.p[name], row, -1.0 * left * grad * common_rows[name][row][:, None])
+                for name in rows:
+                    row, grad = (w.gram[grams], (d_x[:-1] * kept_of[name] * share)[gram_of]) if name == "gram" else (rows[name][0][sub], d_x[:-1] * kept_of[name])
+                    row, total = gathered(row, grad)
+                    total *= common_rows[name][row][:, None]
+                    spent[name][row] += (total * total).sum(1)
+                    self.p[name][row] -= speed * left * total / np.sqrt(spent[name][row])[:, None]
 
     def calibrate(self, texts: list[str], toxic: np.ndarray, weight: float = 4.0) -> None:
         """Move the bias so that 0.5 divides unseen texts best; a clean text that is marked counts `weight` times in its class."""
@@ -293,8 +303,8 @@ class Model:
         return 1 / (1 + np.exp(-top))
 
 
-def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model | None:
-    """Learn from at most `most` labelled texts of each class, those with the least hashes of their ids."""
+def fit(docs: DataFrame, labels: DataFrame, most: int = MOST, longest: int = LONGEST) -> Model | None:
+    """Learn from at most `most` labelled texts of each class, those with the least hashes of their ids, and up to `longest` characters."""
     told = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     told = told.withColumn("h", F.xxhash64("doc_id"))
     count = {r["toxic"]: r["n"] for r in told.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -304,8 +314,9 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model | None:
     for k in (0, 1):
         limit = F.when(F.col("toxic") == k, F.lit(int(-2**63 + min(1.0, most / count[k]) * (2**64 - 2**11)))).otherwise(limit)
     ids = told.where(F.col("h") <= limit).select("doc_id", "toxic", "h")  # about 2 * most rows
-    got = docs.join(F.broadcast(ids), "doc_id").select("text", "toxic", "h").toPandas().sort_values(["h", "text"])
-    got = got[got["text"].notna() & (got["text"] != "")]
+    # repeated rows have one hash of id and text, so what is left is bounded by the labels
+    got = docs.where(F.length("text").between(1, longest)).join(F.broadcast(ids), "doc_id").groupBy("h", F.xxhash64("text").alias("t")).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"))
+    got = got.toPandas().sort_values(["h", "t"])
     if got["toxic"].nunique() < 2:
         return None
     # every fifth text is kept back, to set the threshold on texts that weren't learned
@@ -321,12 +332,14 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model | None:
 
 def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
     """docs with score and predicted."""
-    names = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*names).schema) + ", score double, predicted int"
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs, moved = common.aside(docs, "score", "predicted")
+    text = {c: free for free, c in moved.items()}.get(text, text)
+    names = docs.columns
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double, predicted int"
+    shared = docs.sparkSession.sparkContext.broadcast(model and model.p)  # plain arrays: a worker needs no installed package to read them
 
     def run(batches):
-        m = shared.value
+        m = Model(weights=shared.value) if shared.value else None
         for b in batches:
             out, lo = np.zeros(b.num_rows), 0
             texts = [t or "" for t in b.column(text).to_pylist()]
@@ -339,7 +352,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame
                 lo = hi
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out), pa.array((out >= 0.5).astype(np.int32))], names=[*names, "score", "predicted"])
 
-    return docs.select(*names).mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema)
 
 
 def op6_toxicity(spark, sf_dir):

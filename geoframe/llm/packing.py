@@ -10,7 +10,10 @@ n-th place that the plans hold for that length. No piece is moved between machin
 its hash bucket; a full piece is a bin of its own and needs no number.
 
 Edge cases: null text counts as empty (its document is the single end token). Repeated
-rows are separate pieces and get separate places. An empty table gives an empty result.
+rows are separate pieces and get separate places; which of several pieces of one length gets
+which place is decided by a hash of their columns. Texts of any length are encoded whole. An
+empty table gives an empty result. Input columns with the name of a result column (piece,
+start, length, ids_crc32, sequence_id, offset) are returned as `<name>_in`.
 """
 
 from __future__ import annotations
@@ -41,13 +44,17 @@ class Encoder:
     the next word. Their merges are made by tiktoken, from the file's own vocabulary, where the
     file's merges are in the order of their ids. Texts with other white space next to a space are
     encoded whole, by tokenizers.
+
+    Strings of special tokens in a text are ordinary text, as the README of the vocabulary files
+    reads them: a text can't end its own document. specials=True reads them as their tokens.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 200_000, specials: bool = False):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not specials
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()] if specials else []
         n = self.tok.get_vocab_size()
         self.starts = np.array([(self.tok.id_to_token(i) or "").startswith("\u0120") for i in range(n)])
         self.most, self.known = most, {}
@@ -104,6 +111,8 @@ class Encoder:
                 out.append(None if first and first[-1].isspace() and len(p) > 1 else head + b"".join([known[w] for w in p[1:]]))
             except TypeError:
                 out.append(None)
+        if self.special:
+            out = [None if any(x in t for x in self.special) else ids for t, ids in zip(texts, out)]
         rest = [k for k, ids in enumerate(out) if ids is None]
         for k, ids in zip(rest, self.whole([texts[k] for k in rest])):
             out[k] = ids
@@ -119,7 +128,9 @@ def cut(ids: bytes, size: int) -> list[tuple[int, int, int]]:
 
 def pieces(docs: DataFrame, path: str, size: int = SIZE, text: str = "text", extra: list[str] | None = None) -> DataFrame:
     """A row per piece: doc_id, the extra columns, piece, start, length, ids_crc32."""
-    own = ["doc_id", *(extra or [])]
+    docs, moved = common.aside(docs, "piece", "start", "length", "ids_crc32", "__text")
+    new = {c: free for free, c in moved.items()}
+    own, text = ["doc_id", *[new.get(c, c) for c in extra or []]], new.get(text, text)
     types = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in own) + ", piece int, start long, length long, ids_crc32 long"
 
@@ -140,7 +151,7 @@ def pieces(docs: DataFrame, path: str, size: int = SIZE, text: str = "text", ext
                     names=[*own, "piece", "start", "length", "ids_crc32"])
         common.trim()
 
-    return docs.select(*own, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in own], F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
 
 
 def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int], int]]:
@@ -200,44 +211,44 @@ def plan(histogram: dict[int, int], size: int = SIZE) -> list[tuple[list[int], i
     return bins
 
 
-class Places:
-    """For each length: from which number on which plan's place holds, and how."""
-
-    def __init__(self, bins: list[tuple[list[int], int]]):
-        found: dict[int, list[list[int]]] = {}
-        given: dict[int, int] = {}
-        base = 0
-        for lengths, times in bins:
-            offset = 0
-            for n in lengths:
-                first = given.get(n, 0)
-                found.setdefault(n, []).append([first, base, offset])
-                given[n] = first + times
-                offset += n
-            base += times
-        self.by = {n: np.array(v, np.int64) for n, v in found.items()}
-
-    def of(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        bin_, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
-        for n in np.unique(length):
-            here = np.flatnonzero(length == n)
-            t = self.by[int(n)]
-            k = np.searchsorted(t[:, 0], number[here], "right") - 1
-            bin_[here] = t[k, 1] + number[here] - t[k, 0]
-            offset[here] = t[k, 2]
-        return bin_, offset
+def places(bins: list[tuple[list[int], int]]) -> dict[int, np.ndarray]:
+    """For each length: rows of (from which number on a plan's place holds, its first bin, the offset in it)."""
+    found: dict[int, list[list[int]]] = {}
+    given: dict[int, int] = {}
+    base = 0
+    for lengths, times in bins:
+        offset = 0
+        for n in lengths:
+            first = given.get(n, 0)
+            found.setdefault(n, []).append([first, base, offset])
+            given[n] = first + times
+            offset += n
+        base += times
+    return {n: np.array(v, np.int64) for n, v in found.items()}
+
+
+def placed(by: dict[int, np.ndarray], length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bin and offset of the pieces with these numbers within their lengths."""
+    bin_, offset = np.empty(len(length), np.int64), np.empty(len(length), np.int64)
+    for n in np.unique(length):
+        here = np.flatnonzero(length == n)
+        t = by[int(n)]
+        k = np.searchsorted(t[:, 0], number[here], "right") - 1
+        bin_[here] = t[k, 1] + number[here] - t[k, 0]
+        offset[here] = t[k, 2]
+    return bin_, offset
 
 
 def pack(rows: DataFrame, size: int = SIZE, length: str = "length") -> DataFrame:
     """rows with sequence_id and offset. rows are read three times: give a written table."""
     spark = rows.sparkSession
-    schema = rows.schema
-    names = [c for c in rows.columns if c not in ("sequence_id", "offset")]
+    rows, _ = common.aside(rows, "sequence_id", "offset", "__bucket", "__n", "__before")
+    schema, names = rows.schema, rows.columns
     part = F.col(length) < size
     dealt = rows.select(*names, F.when(part, F.pmod(F.xxhash64(*[c for c in names if schema[c].dataType.typeName() not in ("map", "variant")]), F.lit(4 * common.shuffle_partitions(spark)))).alias("__bucket"))
     counts = written_counts(dealt.where(part).groupBy(length, "__bucket").agg(F.count("*").alias("n")))
     bins = plan({r[length]: r["n"] for r in counts.groupBy(length).agg(F.sum("n").alias("n")).collect()}, size)
-    shared = spark.sparkContext.broadcast(Places(bins))
+    shared = spark.sparkContext.broadcast(places(bins))  # plain arrays: a worker needs no installed package to read them
     before = counts.select(length, "__bucket", (F.sum("n").over(Window.partitionBy(length).orderBy("__bucket")) - F.col("n")).alias("__before"))
     order = Window.partitionBy(length, "__bucket").orderBy(*[c for c in ("doc_id", "piece") if c in names] or [F.lit(0)])
     numbered = dealt.where(part).withColumn("__n", F.row_number().over(order).cast("long") - 1).join(before, [length, "__bucket"])
@@ -245,9 +256,8 @@ def pack(rows: DataFrame, size: int = SIZE, length: str = "length") -> DataFrame
     out = ", ".join(f"`{c}` {schema[c].dataType.simpleString()}" for c in names) + ", sequence_id long, offset long"
 
     def place(batches):
-        places = shared.value
         for b in batches:
-            bin_, offset = places.of(b.column(length).to_numpy(zero_copy_only=False), b.column("__n").to_numpy(zero_copy_only=False))
+            bin_, offset = placed(shared.value, b.column(length).to_numpy(zero_copy_only=False), b.column("__n").to_numpy(zero_copy_only=False))
             rest = b.drop_columns(["__n"])
             yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(bin_), pa.array(offset)], names=[*rest.schema.names, "sequence_id", "offset"])
 

@@ -111,9 +111,9 @@ def keys(text: str | None) -> list[str]:
 
 
 class Grams:
-    """Which neighbours occur side by side in pieces: units end between others, and only substrings of known threes and fours may be pieces."""
+    """Which neighbours occur side by side in pieces: units end between others, and only substrings of known fours may be pieces."""
 
-    SLOTS = 22  # bits of the hash of three or four neighbours; two that share a slot only cost a look-up
+    SLOTS = 22  # bits of the hash of four neighbours; two that share a slot only cost a look-up
 
     def __init__(self, rows: list[tuple]):
         self.names = [p for p, *_ in rows if len(p) > 1]
@@ -122,7 +122,7 @@ class Grams:
         return {"names": self.names}
 
     def _tables(self):
-        """A number for each character; by two numbers, and by the slots of three and four, whether a piece holds them. The first call makes them."""
+        """A number for each character; by two numbers, and by the slot of four, whether a piece holds them. The first call makes them."""
         if not hasattr(self, "_made"):
             text, ends = self._flat(self.names)
             chars = np.unique(text)
@@ -136,12 +136,9 @@ class Grams:
                 table = np.zeros(wide * wide, bool)
                 table[known] = True
                 known = table
-            several = []
-            for q in (3, 4):
-                slots = np.zeros(1 << self.SLOTS, bool)
-                slots[self._slot(number, q)[left[: max(len(text) - q + 1, 0)] >= q]] = True
-                several.append(slots)
-            self._made = code, known, wide, *several
+            slots = np.zeros(1 << self.SLOTS, bool)
+            slots[self._slot(number, 4)[left[: max(len(text) - 3, 0)] >= 4]] = True
+            self._made = code, known, wide, slots
         return self._made
 
     @staticmethod
@@ -185,23 +182,17 @@ class Grams:
         mine.append(whole[first:])
         return out
 
-    def reach(self, units: list[str], longest: int) -> pa.Array:
-        """For each unit a text as long as it: how long a piece from each place on may be (A: 1, B: 2, ...)."""
+    def fours(self, units: list[str]) -> np.ndarray:
+        """For each unit a number: a bit per place, from the lowest on (of the first SHORT + 1), whether the four characters from there may stand in a piece."""
         if not units:
-            return pa.array([], pa.string())
-        code, _, _, three, four = self._tables()
+            return np.zeros(0, np.int64)
+        code, _, _, slots = self._tables()
         text, ends = self._flat(units)
-        number, size = code[text], len(text)
-        place = np.arange(size)
-        out = np.full(size, 2, np.int64)
-        for q, slots in ((3, three), (4, four)):
-            held = np.zeros(size, bool)
-            held[: max(size - q + 1, 0)] = slots[self._slot(number, q)]
-            stop = np.minimum.accumulate(np.where(held, size, place)[::-1])[::-1]  # the next place from which q characters aren't known
-            out = np.where(out < q - 1, out, stop - place + q - 1)
-        out = np.minimum(np.minimum(out, longest), np.repeat(ends, np.diff(ends, prepend=0)) - place)
-        off = np.concatenate([[0], ends]).astype(np.int32)
-        return pa.StringArray.from_buffers(len(units), pa.py_buffer(off.tobytes()), pa.py_buffer((out + 64).astype(np.uint8).tobytes()))
+        held = np.zeros(len(text), bool)
+        held[: max(len(text) - 3, 0)] = slots[self._slot(code[text], 4)]
+        begins = np.concatenate([[0], ends[:-1]])
+        place = np.arange(len(text)) - np.repeat(begins, np.diff(ends, prepend=0))
+        return np.add.reduceat(np.where(held & (place <= SHORT), np.left_shift(np.int64(1), np.minimum(place, SHORT)), 0), begins)
 
 
 class Bits:
@@ -326,12 +317,12 @@ def _spelt(pieces: "Pieces", word: str, cuts: str) -> str:
     return f"flatten(transform(sequence(0, size({cuts}) - 2), i -> CASE WHEN {edge} IS NOT NULL THEN array({edge}.id) ELSE {other} END))"
 
 
-def lattice(distinct: DataFrame, pieces: Pieces, word: str = "word", reach: str | None = None) -> DataFrame:
+def lattice(distinct: DataFrame, pieces: Pieces, word: str = "word", fours: str | None = None) -> DataFrame:
     """distinct (already dealt out by `word`, a row per word) with ids: array<int>, or for words of more than SHORT characters edges: array<long>.
 
-    reach: a column made by Grams.reach(), which spares substrings that are no pieces; it isn't returned."""
+    fours: a column made by Grams.fours(), which spares substrings that are no pieces; it isn't returned."""
     spark = distinct.sparkSession
-    others = [c for c in distinct.columns if c not in (word, reach)]
+    others = [c for c in distinct.columns if c not in (word, fours)]
     bits = Bits(pieces)
     order = {x: r for r, x in enumerate(sorted({x for _, _, x in pieces.rows}, reverse=True))}
     rows = [(*row, order[row[2]]) for row in pieces.rows]
@@ -339,12 +330,15 @@ def lattice(distinct: DataFrame, pieces: Pieces, word: str = "word", reach: str
     n = F.length(word)
     # blocks of a word with what pieces may reach beyond, then starts, then lengths: a substring is cut from a block
     block = F.explode(F.sequence(F.lit(0), F.floor((n - 1) / BLOCK).cast("int")))
-    cut = distinct.select(word, *others, *([reach] if reach else []), block.alias("_b"))
+    cut = distinct.select(word, *others, *([fours] if fours else []), block.alias("_b"))
     at = F.col("_b") * BLOCK
-    far = F.col(reach).substr(at + 1, F.lit(BLOCK)) if reach else F.lit("")
-    cut = cut.select(word, *others, at.alias("_o"), (n - at).alias("_n"), far.alias("_r"), F.regexp_replace(F.col(word).substr(at + 1, F.lit(BLOCK + pieces.longest)), " ", SPACE).alias("_w"))
+    cut = cut.select(word, *others, *([fours] if fours else []), at.alias("_o"), (n - at).alias("_n"), F.regexp_replace(F.col(word).substr(at + 1, F.lit(BLOCK + pieces.longest)), " ", SPACE).alias("_w"))
     cut = cut.select("*", F.explode(F.sequence(F.lit(0), F.least(F.lit(BLOCK), F.col("_n")) - 1)).alias("_i"))
-    most = F.ascii(F.col("_r").substr(F.col("_i") + 1, F.lit(1))) - 64 if reach else F.least(F.lit(pieces.longest), F.col("_n") - F.col("_i"))
+    most = F.least(F.lit(pieces.longest), F.col("_n") - F.col("_i"))
+    if fours:  # as many fours as stand in a row from here, and three characters
+        row = F.expr(f"shiftright({fours}, least(_i, {SHORT}))")
+        row = F.bit_count(F.bitwise_not(row).bitwiseAND(row + 1) - 1)
+        most = F.when((F.col("_o") > 0) | (F.col("_i") + row > SHORT), most).otherwise(F.least(most, row + 3))
     cut = cut.select("*", F.explode(F.sequence(F.lit(1), most)).alias("k"))
     edges = cut.select(word, *others, (F.col("_o") + F.col("_i")).alias("s"), "k", F.col("_w").substr(F.col("_i") + 1, F.col("k")).alias("piece"))
     # the join's key is a number, which is found faster; the strings are compared where it is found
@@ -384,7 +378,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: str | None =
     if any("\n" in p for p, *_ in pieces.rows):
         raise ValueError("pieces that hold line ends aren't supported")
     grams, bits, kind, scores = Grams(pieces.rows), Bits(pieces), pieces.kind, pieces.distinct
-    byte0, unknown, longest = pieces.byte0, pieces.unknown, pieces.longest
+    byte0, unknown = pieces.byte0, pieces.unknown
     spelt = pieces.text if decoded else None
 
     def found(batches):
@@ -403,14 +397,14 @@ def encode(docs: DataFrame, path: str, text: str = "text", decoded: str | None =
         seen = list(seen)
         for lo in range(0, len(seen), 1 << 16):
             w = seen[lo: lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), grams.reach(w, longest), pa.array(np.full(len(w), part, np.int32))], names=["word", "reach", "part"])
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(grams.fours(w)), pa.array(np.full(len(w), part, np.int32))], names=["word", "fours", "part"])
         common.trim()
 
     # a unit is in each partition once, so its list is no longer than the number of partitions
     # a lattice has some fifty times its unit's rows, so the units are dealt out more finely than their size asks for
-    rows = docs.select(text).mapInArrow(found, "word string, reach string, part int").repartition(8 * common.shuffle_partitions(spark), "word")
-    units = rows.groupBy("word", "reach").agg(F.collect_list("part").alias("parts"))
-    known = lattice(units, pieces, reach="reach").select("word", "ids", "edges", F.explode("parts").alias("part"))
+    rows = docs.select(text).mapInArrow(found, "word string, fours long, part int").repartition(8 * common.shuffle_partitions(spark), "word")
+    units = rows.groupBy("word", "fours").agg(F.collect_list("part").alias("parts"))
+    known = lattice(units, pieces, fours="fours").select("word", "ids", "edges", F.explode("parts").alias("part"))
     folder = common.fresh_path(spark, "pieces")
     setting = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(setting)

@@ -53,8 +53,23 @@ class Database:
     def items(self) -> DataFrame:
         return filegdb.items(self.spark, self.path)
 
-    def spatial_refs(self) -> list[str]:
-        return [r["wkt"] for r in self.items().where("wkt <> ''").select("wkt").distinct().collect()]
+    def spatial_refs(self) -> list[tuple[int, str]]:
+        return filegdb.spatial_refs(self.path)
+
+    def definition(self, name: str) -> dict | None:
+        return filegdb.definition(self.path, name)
+
+    def read_feature(self, name: str, oid: int) -> dict | None:
+        return filegdb.read_feature(self.path, name, oid)
+
+    def append(self, name: str, df: DataFrame) -> int:
+        return filegdb.append_rows(df, self.path, name)
+
+    def update(self, name: str, df: DataFrame, oid: str = "OBJECTID") -> None:
+        filegdb.update_rows(df, self.path, name, oid)
+
+    def delete(self, name: str, oids: DataFrame, oid: str = "OBJECTID") -> None:
+        filegdb.delete_rows(oids, self.path, name, oid)
 
     def __len__(self) -> int:
         return len(self.list_layers())
@@ -77,7 +92,8 @@ class Database:
     def metadata(self, name: str) -> dict:
         h = filegdb._header(filegdb.locate(self.path, name))
         return {"fields": h.fields, "geometry_type": h.geometry_type, "has_z": h.has_z, "has_m": h.has_m, "strings_are_utf8": h.utf8, "record_count": h.rows,
-                "spatial_ref": SpatialRef(wkt=h.grid.wkt) if h.grid else None, "extent": h.grid.extent if h.grid else None, "is_table": h.grid is None}
+                "spatial_ref": SpatialRef(wkt=h.grid.wkt) if h.grid else None, "extent": h.grid.extent if h.grid else None, "is_table": h.grid is None,
+                "alias": (filegdb.definition(self.path, name) or {}).get("alias", ""), "indexes": filegdb.indexes(self.path, name), "has_spatial_index": "spatial" in filegdb.indexes(self.path, name).values()}
 
     def create_layer(self, name: str, spec=(), geometry_type: str = "none", spatial_ref: SpatialRef = filegdb.WGS84, has_z: bool = False, has_m: bool = False) -> Layer:
         """An empty layer of the given fields."""

@@ -30,6 +30,11 @@ def st_box(x0: Column, y0: Column, w: Column, h: Column) -> Column:
     return _geometry("polygon", 5, F.array(_part(F.array(x0, x0, x0 + w, x0 + w), F.array(y0, y0 + h, y0 + h, y0), True)), _box(x0, y0, x0 + w, y0 + h))
 
 
+def st_polygon(x: Column, y: Column) -> Column:
+    """A polygon of one ring, from arrays of its unclosed vertices."""
+    return _geometry("polygon", 5, F.array(_part(x, y, True)), _box(F.array_min(x), F.array_min(y), F.array_max(x), F.array_max(y)))
+
+
 def st_holed_box(x0, y0, w, h, hx, hy, hw, hh) -> Column:
     outer = _part(F.array(x0, x0, x0 + w, x0 + w), F.array(y0, y0 + h, y0 + h, y0), True)
     inner = _part(F.array(hx, hx + hw, hx + hw, hx), F.array(hy, hy, hy + hh, hy + hh), False)
@@ -141,9 +146,63 @@ def st_segmentize(g: str, longest: float) -> Column:
 
 
 def st_is_box(g: str) -> Column:
-    """Whether a polygon is its own envelope: one ring of four vertices, with the envelope's area."""
-    b = f"{g}.bbox"
-    return F.expr(f"{g}.kind = 'polygon' AND size({g}.parts) = 1 AND size({g}.parts[0].x) = 4 AND abs(transform({g}.parts, p -> {_area2('p')})[0]) = 2 * ({b}.xmax - {b}.xmin) * ({b}.ymax - {b}.ymin)")
+    """Whether a polygon is its own envelope: one ring of four vertices, with the envelope's area, and not flat."""
+    b, p = f"{g}.bbox", f"get({g}.parts, 0)"
+    step = lambda c, i: f"(get({p}.{c}, {i}) - get({p}.{c}, 0))"
+    # written out for four vertices: without a lambda it stays in generated code, and in arguments of Python functions
+    twice = " + ".join(f"({step('x', i)} * {step('y', i + 1)} - {step('x', i + 1)} * {step('y', i)})" for i in (1, 2))
+    return F.expr(f"coalesce({g}.kind = 'polygon' AND size({g}.parts) = 1 AND size({p}.x) = 4 AND {b}.xmax > {b}.xmin AND {b}.ymax > {b}.ymin AND abs({twice}) = 2 * ({b}.xmax - {b}.xmin) * ({b}.ymax - {b}.ymin), false)")
+
+
+def _box_tests(a: str, b: str) -> dict[str, str]:
+    """How two boxes lie, as conditions on their envelopes."""
+    p, q = f"{a}.bbox", f"{b}.bbox"
+    ox, oy = (f"(least({p}.{d}max, {q}.{d}max) - greatest({p}.{d}min, {q}.{d}min))" for d in "xy")
+    over = f"({p}.xmin <= {q}.xmin AND {p}.ymin <= {q}.ymin AND {p}.xmax >= {q}.xmax AND {p}.ymax >= {q}.ymax)"
+    under = f"({q}.xmin <= {p}.xmin AND {q}.ymin <= {p}.ymin AND {q}.xmax >= {p}.xmax AND {q}.ymax >= {p}.ymax)"
+    meet, inner = f"({ox} >= 0 AND {oy} >= 0)", f"({ox} > 0 AND {oy} > 0)"
+    side = f"((({p}.xmin = {q}.xmin OR {p}.xmax = {q}.xmax) AND {oy} > 0) OR (({p}.ymin = {q}.ymin OR {p}.ymax = {q}.ymax) AND {ox} > 0))"
+    return {"ox": ox, "oy": oy, "side": side, "meet": meet, "inner": inner, "intersects": meet, "disjoint": f"NOT {meet}", "contains": over, "covers": over, "within": under, "covered_by": under,
+            "equals": f"({over} AND {under})", "touches": f"({meet} AND NOT {inner})", "overlaps": f"({inner} AND NOT {over} AND NOT {under})", "crosses": "false"}
+
+
+def st_box_relate(a: str, b: str) -> Column:
+    """The matrix of two boxes."""
+    t = _box_tests(a, b)
+    return F.expr(f"""CASE WHEN NOT {t['meet']} THEN 'FF2FF1212' WHEN {t['ox']} = 0 AND {t['oy']} = 0 THEN 'FF2F01212' WHEN NOT {t['inner']} THEN 'FF2F11212' WHEN {t['equals']} THEN '2FFF1FFF2'
+        WHEN {t['contains']} THEN CASE WHEN {t['side']} THEN '212F11FF2' ELSE '212FF1FF2' END WHEN {t['within']} THEN CASE WHEN {t['side']} THEN '2FF11F212' ELSE '2FF1FF212' END
+        WHEN {t['side']} THEN '212111212' ELSE '212101212' END""")
+
+
+def st_box_predicate(name: str, a: str, b: str) -> Column:
+    return F.expr(_box_tests(a, b)[name])
+
+
+def st_geometry_at(g: str, i: int) -> Column:
+    """Member i of a collection (negative: from the end), as a geometry; members of members aren't unfolded."""
+    top = f"filter({g}.members, m -> size(m.path) = 1)"
+    m = f"element_at({top}, {i + 1 if i >= 0 else i})"
+    box = lambda f, c: f"array_{f}(flatten(transform({m}.parts, p -> p.{c})))"
+    return F.when(F.expr(f"{g}.kind <> 'geometrycollection'"), F.raise_error(F.lit("only a collection has members"))).otherwise(F.expr(
+        f"named_struct('kind', {m}.kind, 'shape_type', {m}.shape_type, 'has_z', {m}.has_z, 'has_m', {m}.has_m, 'parts', {m}.parts, 'members', CAST(NULL AS array<{MEMBER}>), "
+        f"'bbox', CASE WHEN size(flatten(transform({m}.parts, p -> p.x))) > 0 THEN named_struct('xmin', {box('min', 'x')}, 'ymin', {box('min', 'y')}, 'xmax', {box('max', 'x')}, 'ymax', {box('max', 'y')}) END)").cast(GEOMETRY))
+
+
+def st_dump_parts(g: str) -> Column:
+    """Parts as rows for explode(): their number, whether they are shells, and their ordinates."""
+    return F.expr(f"transform({_all(g)}, (p, i) -> named_struct('part', i, 'shell', p.shell, 'x', p.x, 'y', p.y, 'z', p.z, 'm', p.m))")
+
+
+def st_dump_points(g: str) -> Column:
+    """Vertices as rows for explode(): part, place in it, x and y."""
+    return F.expr(f"flatten(transform({_all(g)}, (p, i) -> transform(p.x, (x, k) -> named_struct('part', i, 'place', k, 'x', x, 'y', p.y[k]))))")
+
+
+def st_same(a: str, b: str) -> Column:
+    """As exactly equal, and M as well; no ordinate equals no ordinate."""
+    m = lambda g: F.transform(F.col(f"{g}.parts"), lambda p: p["m"])
+    inner = lambda g: F.transform(F.col(f"{g}.members"), lambda x: F.transform(x["parts"], lambda p: p["m"]))
+    return st_exactly_equals(a, b) & m(a).eqNullSafe(m(b)) & inner(a).eqNullSafe(inner(b))
 
 
 def st_contains_point(g: str, x: Column, y: Column, box: str = "false") -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from geoframe.plans.where import bbox_overlaps, compile_where
@@ -89,8 +89,4 @@ class Layer:
         return self.df.withColumn(self.geometry, F.when(bad, F.raise_error(F.concat(F.lit(f"a {kind} layer can't hold a "), g))).otherwise(F.col(self.geometry)))
 
 
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("__n = 1").drop("__n")
-
-
-__all__ = ["Layer", "FormatError", "latest"]
+__all__ = ["Layer", "FormatError"]

@@ -190,6 +190,7 @@ def simplify_zigzag(spark, d):
 
 @query(f"WITH {SBOX}, {PAIRS} SELECT a, b, round(sqrt(pow(greatest(0, -ox), 2) + pow(greatest(0, -oy), 2)), 6) AS distance FROM pairs")
 def distance_box_box(spark, d):
+    """All pairs of a small table, as its SQL has them; distance_join is the one for large ones."""
     s = sbox(spark, d)
     a, b = s.select(F.col("oid").alias("a"), F.col("geometry").alias("ga")), s.select(F.col("oid").alias("b"), F.col("geometry").alias("gb"))
     return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(V.st_distance("ga", "gb"), 6).alias("distance"))
@@ -356,6 +357,110 @@ def buf_line_caps(spark, d):
     return s.select("oid", area("f").alias("flat"), area("q").alias("square"), area("r").alias("round_"), area("o").alias("single"))
 
 
+# -- shapes that are no boxes: the arrangement decides them
+
+DIA = """dia AS (SELECT s_suppkey AS oid, CAST(s_suppkey % 10 AS DOUBLE) * 2 AS cx, CAST((s_suppkey - s_suppkey % 10) / 10 AS DOUBLE) AS cy, CAST(1 + s_suppkey % 3 AS DOUBLE) AS r FROM supplier),
+dbox AS (SELECT oid, cx + cy - r AS x0, cx - cy - r AS y0, 2 * r AS w, 2 * r AS h FROM dia)"""
+DPAIRS = PAIRS.replace("sbox", "dbox")
+
+
+def diamonds(spark, d) -> DataFrame:
+    """A square on its corner per supplier. Along x + y and x - y it is a box, of twice its area."""
+    k = F.col("s_suppkey")
+    s = _t(spark, d, "supplier").select(k.alias("oid"), ((k % 10) * 2).cast("double").alias("x"), ((k - k % 10) / 10).cast("double").alias("y"), (1 + k % 3).cast("double").alias("r"))
+    x, y, r = F.col("x"), F.col("y"), F.col("r")
+    return s.select("oid", "r", N.st_polygon(F.array(x - r, x, x + r, x), F.array(y, y + r, y, y - r)).alias("geometry"))
+
+
+def diamond_pairs(spark, d) -> DataFrame:
+    s = diamonds(spark, d)
+    a, b = s.select(F.col("oid").alias("a"), F.col("geometry").alias("ga")), s.select(F.col("oid").alias("b"), F.col("geometry").alias("gb"))
+    return spatial_join(a, b, "ga", "gb", 4.0).where("a < b")
+
+
+def five(x, y, w, h):
+    """A rectangle with one vertex more, on its upper side."""
+    return N.st_polygon(F.array(x, x, x + w / 2, x + w, x + w), F.array(y, y + h, y + h, y + h, y))
+
+
+@query(f"""WITH {DIA}, {DPAIRS} SELECT a, b, CASE WHEN ox = 0 AND oy = 0 THEN 'FF2F01212' WHEN {_EDGE} THEN 'FF2F11212'
+  WHEN ({_CONTAINS}) AND ({_WITHIN}) THEN '2FFF1FFF2'
+  WHEN {_CONTAINS} THEN CASE WHEN {_SIDES} THEN '212F11FF2' ELSE '212FF1FF2' END
+  WHEN {_WITHIN} THEN CASE WHEN {_SIDES} THEN '2FF11F212' ELSE '2FF1FF212' END
+  ELSE CASE WHEN {_SIDES} THEN '212111212' ELSE '212101212' END END AS matrix FROM pairs WHERE ox >= 0 AND oy >= 0""")
+def dia_relate(spark, d):
+    return diamond_pairs(spark, d).select("a", "b", V.st_relate("ga", "gb").alias("matrix")).where("NOT matrix LIKE 'FF_FF%'")
+
+
+for _name, _sql in _TEST.items():
+    if _name in ("within", "covers", "touches", "overlaps"):
+        def _run(spark, d, name=_name):
+            return diamond_pairs(spark, d).where(getattr(V, f"st_{name}")("ga", "gb")).select("a", "b")
+
+        QUERIES[f"dia_{_name}"], ORACLES[f"dia_{_name}"] = _run, f"WITH {DIA}, {DPAIRS} SELECT a, b FROM pairs WHERE {_sql}"
+
+
+@query(f"""WITH {DIA}, {DPAIRS}, m AS (SELECT a, b, aa / 2 AS aa, ba / 2 AS ba, CASE WHEN ox > 0 AND oy > 0 THEN ox * oy / 2 ELSE 0 END AS i FROM pairs WHERE ox >= 0 AND oy >= 0)
+SELECT a, b, round(i, 6) AS inter, round(aa + ba - i, 6) AS uni, round(aa - i, 6) AS diff, round(aa + ba - 2 * i, 6) AS sym FROM m""")
+def dia_overlay(spark, d):
+    p = diamond_pairs(spark, d).where(V.st_intersects("ga", "gb"))
+    area = lambda op, name: F.round(N.st_area(op), 6).alias(name)
+    p = p.select("a", "b", V.st_intersection("ga", "gb").alias("i"), V.st_union("ga", "gb").alias("u"), V.st_difference("ga", "gb").alias("d"), V.st_sym_difference("ga", "gb").alias("s"))
+    return p.select("a", "b", area("i", "inter"), area("u", "uni"), area("d", "diff"), area("s", "sym"))
+
+
+@query(f"WITH {DIA} SELECT oid, round(2 * r * r + sqrt(2) * r + 16 * sin(pi() / 16) * 0.0625, 6) AS area FROM dia")
+def buf_diamond_area(spark, d):
+    return diamonds(spark, d).select("oid", V.st_buffer("geometry", 0.25).alias("g")).select("oid", F.round(N.st_area("g"), 6).alias("area"))
+
+
+@query(f"""WITH {SBOX} SELECT oid, oid % 4 < 3 AS within, oid % 4 < 3 AS covered_by, oid % 4 = 3 AS touches, oid % 2 = 0 AS equals,
+  CASE oid % 4 WHEN 1 THEN '2FF1FF212' WHEN 3 THEN 'FF2F11212' ELSE '2FF11F212' END AS matrix FROM sbox""")
+def rel_nested(spark, d):
+    """A box in a column of a larger polygon: at its left side, between, at its right side, or beside it; and the polygon against its envelope, which may be moved."""
+    s = sbox(spark, d).select("oid", F.col("geometry.bbox").alias("e"))
+    x, y, w, h, k = F.col("e.xmin"), F.col("e.ymin"), F.col("e.xmax") - F.col("e.xmin"), F.col("e.ymax") - F.col("e.ymin"), (F.col("oid") % 4).cast("double")
+    s = s.select("oid", five(x, y, 3 * w, 3 * h).alias("outer"), N.st_box(x + k * w, y + h, w, h).alias("inner"), N.st_box(x + F.col("oid") % 2, y, 3 * w, 3 * h).alias("same"))
+    return s.select("oid", V.st_within("inner", "outer").alias("within"), V.st_covered_by("inner", "outer").alias("covered_by"), V.st_touches("inner", "outer").alias("touches"),
+                    V.st_equals("outer", "same").alias("equals"), V.st_relate("inner", "outer").alias("matrix"))
+
+
+@query(f"""WITH {SBOX} SELECT oid, oid % 4 >= 2 AS crosses, oid % 4 = 1 AS touches, CASE oid % 4 WHEN 0 THEN 'FF1FF0212' WHEN 1 THEN 'FF1F00212' WHEN 2 THEN '1010F0212' ELSE '101FF0212' END AS matrix FROM sbox""")
+def rel_line_polygon(spark, d):
+    """A line that ends before a polygon, on its side, inside it, or beyond it."""
+    s = sbox(spark, d).select("oid", F.col("geometry.bbox").alias("e"))
+    x, y, w, h, k = F.col("e.xmin"), F.col("e.ymin"), F.col("e.xmax") - F.col("e.xmin"), F.col("e.ymax") - F.col("e.ymin"), F.col("oid") % 4
+    far = F.when(k == 0, x - 0.5).when(k == 1, x).when(k == 2, x + w / 2).otherwise(x + w + 1)
+    s = s.select("oid", five(x, y, w, h).alias("p"), N.st_line(F.array(x - 1, far), F.array(y + h / 2, y + h / 2)).alias("l"))
+    return s.select("oid", V.st_crosses("l", "p").alias("crosses"), V.st_touches("l", "p").alias("touches"), V.st_relate("l", "p").alias("matrix"))
+
+
+@query(f"""WITH {SBOX} SELECT oid, 4 * w * h AS inter, round(4 * w * h + (1.5 * w + 1) * (3 * h + 2), 6) AS uni, 4 * w * h AS diff, 9 * w * h AS plugged, 'polyline' AS seam FROM sbox""")
+def ov_holed(spark, d):
+    """A box with a hole against one that covers its left half, and against one that fills the hole."""
+    s = sbox(spark, d).select("oid", F.col("geometry.bbox").alias("e"))
+    x, y, w, h = F.col("e.xmin"), F.col("e.ymin"), F.col("e.xmax") - F.col("e.xmin"), F.col("e.ymax") - F.col("e.ymin")
+    s = s.select("oid", N.st_holed_box(x, y, 3 * w, 3 * h, x + w, y + h, w, h).alias("g"), N.st_box(x - 1, y - 1, 1.5 * w + 1, 3 * h + 2).alias("half"), N.st_box(x + w, y + h, w, h).alias("plug"))
+    s = s.select("oid", V.st_intersection("g", "half").alias("i"), V.st_union("g", "half").alias("u"), V.st_difference("g", "half").alias("d"), V.st_union("g", "plug").alias("p"), V.st_intersection("g", "plug")["kind"].alias("seam"))
+    area = lambda g, name: F.round(N.st_area(g), 6).alias(name)
+    return s.select("oid", area("i", "inter"), area("u", "uni"), area("d", "diff"), area("p", "plugged"), "seam")
+
+
+@query(f"WITH {SBOX} SELECT oid, oid % 2 = 0 AS valid, oid % 2 = 0 AS simple FROM sbox")
+def validity_crossed(spark, d):
+    """Rings and lines, every other one crossing itself."""
+    s = sbox(spark, d).select("oid", F.col("geometry.bbox").alias("e"))
+    x0, y0, x1, y1, odd = F.col("e.xmin"), F.col("e.ymin"), F.col("e.xmax"), F.col("e.ymax"), F.col("oid") % 2 == 1
+    x, y = F.array(x0, F.when(odd, x1).otherwise(x0), x1, F.when(odd, x0).otherwise(x1)), F.array(y0, y1, F.when(odd, y0).otherwise(y1), F.when(odd, y1).otherwise(y0))
+    s = s.select("oid", N.st_polygon(x, y).alias("p"), N.st_line(x, y).alias("l"))
+    return s.select("oid", V.st_is_valid("p").alias("valid"), V.st_is_simple("l").alias("simple"))
+
+
+@query(f"WITH {SBOX} SELECT oid, CAST(0 AS INTEGER) AS part, k AS place, CASE k WHEN 0 THEN x0 WHEN 1 THEN x0 ELSE x0 + w END AS x, CASE k WHEN 0 THEN y0 WHEN 3 THEN y0 ELSE y0 + h END AS y FROM sbox, (SELECT CAST(unnest([0, 1, 2, 3]) AS INTEGER) AS k)")
+def dump_points(spark, d):
+    return sbox(spark, d).select("oid", F.explode(N.st_dump_points("geometry")).alias("v")).select("oid", "v.*")
+
+
 _I = "CAST({} AS BIGINT)"
 
 

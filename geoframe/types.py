@@ -16,6 +16,7 @@ FIELD_TYPES = {
     10: ("GUID", "string"), 11: ("GlobalID", "string"), 12: ("XML", "string"), 13: ("BigInteger", "bigint"), 14: ("DateOnly", "date"),
     15: ("TimeOnly", "string"), 16: ("TimestampOffset", "struct<ts:timestamp,offset_min:smallint>"),
 }
+#: Names that clients use for attribute types.
 FIELD_ALIASES = {
     "smallinteger": 0, "short": 0, "int16": 0, "integer": 1, "int": 1, "int32": 1, "long": 1, "single": 2, "float32": 2, "double": 3, "float": 3,
     "float64": 3, "string": 4, "text": 4, "date": 5, "datetime": 5, "oid": 6, "geometry": 7, "blob": 8, "binary": 8, "raster": 9, "guid": 10,

@@ -149,3 +149,33 @@ def test_crs():
     for bad in (True, 99999, "nowhere"):
         with pytest.raises(crs.CoordTransformError):
             crs.resolve(bad)
+
+
+def test_shapes_on_their_corners_and_at_odd_angles():
+    """Crossings that are rounded apart: the ladder of precisions closes the rings."""
+    for cx, cy, r in itertools.product((0, 5, 7), (0, 3), (1, 2, 3)):
+        g = from_wkt(f"POLYGON(({cx - r} {cy},{cx} {cy + r},{cx + r} {cy},{cx} {cy - r},{cx - r} {cy}))")
+        assert area(buffer(g, 0.25)) == pytest.approx(2 * r * r + math.sqrt(2) * r + S32 * 0.0625)
+        assert area(buffer(g, -0.25)) == pytest.approx(2 * (r - 0.25 * math.sqrt(2)) ** 2)
+    rnd = random.Random(3)
+    for _ in range(25):
+        n = rnd.randint(3, 9)
+        ring = [(math.cos(2 * math.pi * i / n + 0.3) * rnd.uniform(2, 6) + 5, math.sin(2 * math.pi * i / n + 0.3) * rnd.uniform(2, 6) + 5) for i in range(n)]
+        text = lambda row: from_wkt("POLYGON((" + ",".join(f"{x} {y}" for x, y in [*row, row[0]]) + "))")
+        a, b = text(ring), text([(x + 1, y + 0.5) for x, y in ring])
+        assert area(buffer(a, 0.5)) > area(a)
+        assert area(overlay(a, b, "intersection")) + area(overlay(a, b, "union")) == pytest.approx(area(a) + area(b))
+
+
+def test_few_and_many_segments_cross_alike():
+    import numpy as np
+
+    from geoframe.kernel.arrangement import _few_crossings, crossings
+
+    rnd = np.random.RandomState(1)
+    for size in (3, 5, 9):
+        p, q = rnd.randint(0, size, (40, 2)).astype(float), rnd.randint(0, size, (40, 2)).astype(float)
+        some = (p != q).any(1)
+        p, q = p[some], q[some]
+        told = lambda rows: {(min(i, j), max(i, j)): sorted(tuple(round(c, 9) for c in v) for v in shared) for i, j, shared in rows}
+        assert told(_few_crossings(p.tolist(), q.tolist())) == told(crossings(p, q))

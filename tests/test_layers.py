@@ -1,5 +1,6 @@
 """Layers, the where language, queries against their SQL, the geodatabase source, streams."""
 
+import io
 import math
 import os
 
@@ -80,7 +81,7 @@ def test_bbox_reaches_the_scan(spark, tmp_path):
 
 def test_exact_tests_run_above_the_native_one(spark):
     s = queries.pairs(spark, SF)
-    plan = s.where(V.st_intersects("ga", "gb") & V.boxes_meet("ga", "gb"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = s.where(V.st_intersects("ga", "gb"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("ArrowEval") < plan.index("Join")
 
 
@@ -160,15 +161,95 @@ def test_stream(spark, tmp_path):
     assert spark.table("layer_stream").count() == want > 0
 
 
+def test_boxes_are_told_natively(spark):
+    """The native answer for boxes is the arrangement's."""
+    from geoframe.kernel.arrangement import predicate, relate
+
+    at = [(0, 0, 4, 4), (0, 0, 4, 4), (4, 0, 2, 2), (4, 4, 1, 1), (1, 1, 2, 2), (0, 1, 2, 2), (2, 2, 4, 4), (2, 0, 4, 4), (9, 9, 1, 1), (1, 0, 2, 4)]
+    wkt = [f"POLYGON(({x} {y},{x} {y + h},{x + w} {y + h},{x + w} {y},{x} {y}))" for x, y, w, h in at]
+    rows = [(a, b) for a in wkt for b in wkt]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", V.st_geom_from_text("a").alias("ga"), V.st_geom_from_text("b").alias("gb")).cache()
+    for r in df.select("a", "b", V.st_relate("ga", "gb").alias("m"), *[getattr(V, f"st_{p}")("ga", "gb").alias(p) for p in V.PREDICATES]).collect():
+        x, y = from_wkt(r["a"]), from_wkt(r["b"])
+        assert r["m"] == relate(x, y) and all(r[p] == predicate(p, x, y) for p in V.PREDICATES), (r["a"], r["b"])
+
+
+def test_transform_moves_batches(spark):
+    from geoframe.kernel import crs
+
+    texts = ["POINT (116 40)", "LINESTRING Z (1 2 3, 4 5 6)", "MULTIPOLYGON (((0 0, 0 2, 2 2, 2 0, 0 0)), ((5 5, 5 6, 6 6, 6 5, 5 5), (5.2 5.2, 5.4 5.2, 5.4 5.4, 5.2 5.2)))", None, "MULTIPOINT ((1 1), (2 2))", "GEOMETRYCOLLECTION (POINT (1 2), POINT (3 4))"]
+    for some in (texts[:5], texts):
+        df = spark.createDataFrame([(t,) for t in some], "t string").repartition(1).select("t", V.st_geom_from_text("t").alias("g")).select("t", "g", V.st_transform("g", 4326, 3857).alias("m"))
+        for r in df.select("t", "m", V.st_as_text(V.st_transform("m", 3857, 4326)).alias("back"), N.st_envelope("m").alias("e")).collect():
+            if r["t"] is None:
+                assert r["m"] is None
+                continue
+            x, y = crs.transform(*zip(*[(v[0], v[1]) for m in from_wkt(r["t"]).flat() for p in m.parts for v in p]), 4326, 3857)
+            assert tuple(r["m"]["bbox"]) == pytest.approx((min(x), min(y), max(x), max(y))) == tuple(r["e"])
+            want, got = from_wkt(r["t"]), from_wkt(r["back"])
+            assert [len(p) for m in want.flat() for p in m.parts] == [len(p) for m in got.flat() for p in m.parts] and want.shells == got.shells and want.kind == got.kind and want.has_z == got.has_z
+
+
+def test_members_and_equality(spark):
+    df = spark.createDataFrame([("GEOMETRYCOLLECTION (POINT (1 2), LINESTRING (0 0, 1 1))", "LINESTRING M (0 0 7, 1 1 8)", "LINESTRING M (0 0 7, 1 1 9)")], "c string, a string, b string")
+    df = df.select(*[V.st_geom_from_text(x).alias(x) for x in "cab"])
+    got = df.select(V.st_as_text(N.st_geometry_at("c", -1)).alias("last"), N.st_geometry_at("c", 0)["bbox"]["xmin"].alias("x"), N.st_exactly_equals("a", "b").alias("e"), N.st_same("a", "b").alias("s"), F.size(N.st_dump_parts("c")).alias("parts")).first()
+    assert tuple(got) == ("LINESTRING (0 0, 1 1)", 1.0, True, False, 2)
+
+
 def test_sql_functions(spark):
     V.register(spark)
     got = spark.sql("SELECT st_as_text(st_intersection(st_geom_from_text('LINESTRING(0 0,10 0)'), st_geom_from_text('POLYGON((2 -1,4 -1,4 1,2 1,2 -1))'))) AS t, st_relate(st_geom_from_text('POINT(1 1)'), st_geom_from_text('POINT(1 1)')) AS r, st_as_text(NULL) AS n").first()
+    more = spark.sql("SELECT st_area(g) a, st_length(g) l, st_area(st_buffer(g, 0.0D)) b, st_transform(st_geom_from_text('POINT(1 0)'), '4326 3857').bbox.xmin x, st_dimension(g) d FROM (SELECT st_geom_from_text('POLYGON((0 0,2 0,2 3,0 3,0 0))') g)").first()
+    assert (more["a"], more["l"], more["b"], more["d"]) == (6.0, 10.0, 6.0, 2) and more["x"] == pytest.approx(111319.49079327358)
     assert got["t"] == "LINESTRING (2 0, 4 0)" and got["r"] == "0FFFFFFF2" and got["n"] is None
 
 
 # -- geodatabase
 
 
+def test_database_holds_items_and_changes_in_place(spark, tmp_path):
+    db = str(tmp_path / "c.gdb")
+    filegdb.create_database(db)
+    assert open(f"{db}/gdb", "rb").read() == bytes.fromhex("05000000deadbeef") and os.path.getsize(f"{db}/timestamps") == 400 and filegdb.list_layers(db) == [] and len(filegdb.list_layers(db, True)) == 7
+    assert len(filegdb.system_rows(db, "GDB_ItemTypes")) == 8
+    rows = spark.createDataFrame([("a", 1, "POINT (1 2)"), ("b", 2, "POINT (3 4)"), ("c", None, None)], "name string, n int, w string")
+    layer = rows.select("name", "n", V.st_geom_from_text("w").alias("geometry")).withColumn("oid", F.ascii("name").cast("long") - 96)
+    assert filegdb.write_layer(layer, db, "spots", "point") == 3
+    item = filegdb.registered(db)["spots"]
+    told = filegdb.definition(db, "Spots")
+    assert item["PhysicalName"] == "SPOTS" and item["DatasetSubtype2"] == 1 and told["kind"] == "feature class" and told["shape"] == "point" and [f["name"] for f in told["fields"]] == ["OBJECTID", "name", "n", "geometry"]
+    assert told["fields"][1]["type"] == "String" and told["wkt"].startswith("GEOGCS") and filegdb.spatial_refs(db) == [(1, told["wkt"])] and len(filegdb.system_rows(db, "GDB_ItemRelationships")) == 1
+    assert filegdb.items(spark, db).where("kind = 'feature class'").first()["uuid"] == item["UUID"] and filegdb.indexes(db, "spots") == {}
+    # a point lookup, the heads of blobs, and no blobs
+    assert filegdb.read_feature(db, "spots", 2)["name"] == "b" and filegdb.read_feature(db, "spots", 9) is None and filegdb.read_feature(db, "spots", 0) is None
+    heads = {r["name"]: r for r in filegdb.read_layer(spark, db, "spots", geometry="bbox").collect()}
+    assert heads["b"]["geometry"]["bbox"]["xmin"] == pytest.approx(3) and heads["b"]["geometry"]["kind"] == "point" and heads["c"]["geometry"] is None and heads["c"]["n"] is None
+    assert {r["n"] for r in filegdb.read_layer(spark, db, "spots", geometry="none").collect()} == {1, 2, None}
+    # changes in place
+    assert filegdb.append_rows(spark.createDataFrame([("dd", 4), ("ee", 5)], "NAME string, n int"), db, "spots") == 2
+    filegdb.update_rows(spark.createDataFrame([(1, "new name", 7), (77, "x", 0)], "OBJECTID long, name string, n int"), db, "spots")
+    filegdb.delete_rows(spark.createDataFrame([(2,), (50,)], "OBJECTID long"), db, "spots")
+    got = {r["OBJECTID"]: (r["name"], r["n"]) for r in filegdb.read_layer(spark, db, "spots").collect()}
+    assert got == {1: ("new name", 7), 3: ("c", None), 4: got[4], 5: got[5]} and {got[4], got[5]} == {("dd", 4), ("ee", 5)} and filegdb._header(filegdb.locate(db, "spots")).rows == 4
+    # what can't be stored leaves nothing behind
+    with pytest.raises(Exception, match="can't hold"):
+        filegdb.write_layer(layer, db, "lines", "line")
+    assert filegdb.list_layers(db) == ["spots"] and "lines" not in filegdb.registered(db) and not os.path.exists(f"{db}/a00000009.gdbtable") or len(filegdb.list_layers(db)) == 1
+    filegdb.delete_layer(db, "spots")
+    assert filegdb.registered(db) == {} and filegdb.system_rows(db, "GDB_ItemRelationships") == []
+    filegdb.write_layer(spark.createDataFrame([("z",)], "s string"), db, "after")
+    assert os.path.basename(filegdb.locate(db, "after")) > "a00000009.gdbtable"
+
+
+def test_heads_of_all_kinds():
+    for wkt, box in (("LINESTRING Z (0 0 5, 10 3 6)", (0, 0, 10, 3)), ("POLYGON ((0 0, 0 10, 10 10, 10 0, 0 0))", (0, 0, 10, 10)), ("MULTIPOINT ((1 1), (2 5))", (1, 1, 2, 5)), ("POINT (7 8)", (7, 8, 7, 8))):
+        blob = codec.encode_geometry(from_wkt(wkt), codec.Grid())
+        r = codec.Reader(blob + b"rest")
+        told = codec.peek(r, len(blob), codec.Grid())
+        assert tuple(told["bbox"].values()) == pytest.approx(box) and r.data[r.at:] == b"rest"
+
+
 def test_geodatabase_round_trip(spark, tmp_path):
     db = str(tmp_path / "x.gdb")
     filegdb.create_database(db)
@@ -206,7 +287,9 @@ def test_variable_length_integers():
     for n in (0, 1, 63, 64, 127, 128, 300, 2**31, 2**50):
         assert codec.Reader(codec.varuint(n)).varuint() == n
         assert codec.Reader(codec.varint(n)).varint() == n and codec.Reader(codec.varint(-n)).varint() == -n
-    assert codec.read_offsets(codec.write_offsets([0, 40, 0, 99] * 700)) == [0, 40, 0, 99] * 700
+    offsets = [0, 40, 0, 99] * 700
+    f = io.BytesIO(codec.write_offsets(offsets))
+    assert codec.read_offsets(f) == offsets and codec.slots(f) == 2800 and codec.read_offsets(f, 1000, 2100) == offsets[1000:2100] and codec.read_offsets(f, 2800) == []
     assert codec.guid(bytes(range(16))) == "{03020100-0504-0706-0809-0A0B0C0D0E0F}"
 
 

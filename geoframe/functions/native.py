@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -218,6 +220,25 @@ def st_contains_point(g: str, x: Column, y: Column, box: str = "false") -> Colum
     return F.expr(sql.replace("_px", f"({x})").replace("_py", f"({y})")) if isinstance(x, str) else F.expr(sql)
 
 
+def mercator(src: str, dst: str):
+    """How x and y move between "geographic" (degrees) and "mercator" (metres on the sphere of the WGS 84 equator)."""
+    a = 6378137.0
+    if src == dst:
+        return (lambda x: x), (lambda y: y)
+    if dst == "mercator":  # beyond the poles there is no y
+        return (lambda x: F.radians(x) * a), (lambda y: F.coalesce(F.ln(F.tan(F.lit(math.pi / 4) + F.radians(y) / 2)), F.lit(float("nan"))) * a)
+    return (lambda x: F.degrees(x / a)), (lambda y: F.degrees(F.atan(F.exp(y / a)) * 2 - math.pi / 2))
+
+
+def st_map_xy(g: Column, fx, fy) -> Column:
+    """g with x and y of every vertex moved, each by an increasing function of itself."""
+    moved = lambda parts: F.transform(parts, lambda p: F.struct(F.transform(p["x"], fx).alias("x"), F.transform(p["y"], fy).alias("y"), p["z"].alias("z"), p["m"].alias("m"), p["shell"].alias("shell")))
+    inner = F.transform(g["members"], lambda m: F.struct(*[m[c].alias(c) for c in ("path", "kind", "shape_type", "has_z", "has_m")], moved(m["parts"]).alias("parts")))
+    b = g["bbox"]
+    box = F.when(b.isNotNull(), _box(fx(b["xmin"]), fy(b["ymin"]), fx(b["xmax"]), fy(b["ymax"])))
+    return F.when(g.isNotNull(), F.struct(*[g[c].alias(c) for c in ("kind", "shape_type", "has_z", "has_m")], moved(g["parts"]).alias("parts"), inner.alias("members"), box.alias("bbox")).cast(GEOMETRY))
+
+
 def st_collect(*geometries: str) -> Column:
     """A collection of single geometries; empties stay, Z and M if any member has them."""
     members = [F.struct(F.array(F.lit(i)).alias("path"), *[F.col(f"{g}.{c}").alias(c) for c in ("kind", "shape_type", "has_z", "has_m", "parts")]) for i, g in enumerate(geometries)]

@@ -113,8 +113,13 @@ def _moved(g: pa.StructArray, move) -> pa.StructArray:
 
 
 def st_transform(g, src, dst) -> Column:
-    """Another coordinate system; Z stays, M stays, empties stay empty. A batch is one call of the transform; collections go one by one."""
+    """Another coordinate system; Z stays, M stays, empties stay empty.
+
+    Between geographic systems and web Mercator x and y are moved by built-in expressions. Else a batch is one call of the transform; collections go one by one."""
     src, dst = crs.resolve(src), crs.resolve(dst)
+    kinds = crs._params(src)[0], crs._params(dst)[0]
+    if "tm" not in kinds:
+        return native.st_map_xy(_c(g), *native.mercator(*kinds))
     arrow = to_arrow_type(_parse_datatype_string(GEOMETRY))
 
     def one(x: Geometry) -> Geometry:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import re
-from functools import lru_cache
 
 import numpy as np
 
@@ -37,7 +36,6 @@ def resolve(crs) -> int:
     return crs
 
 
-@lru_cache(64)
 def _params(code: int) -> tuple:
     """(kind, ellipsoid, central meridian, scale, false easting, false northing)."""
     if code in (4326, 4979, 4258, 4490):

@@ -190,8 +190,9 @@ class Grams:
         text, ends = self._flat(units)
         held = np.zeros(len(text), bool)
         held[: max(len(text) - 3, 0)] = slots[self._slot(code[text], 4)]
-        begins = np.concatenate([[0], ends[:-1]])
-        place = np.arange(len(text)) - np.repeat(begins, np.diff(ends, prepend=0))
+        begins, sizes = np.concatenate([[0], ends[:-1]]), np.diff(ends, prepend=0)
+        place = np.arange(len(text)) - np.repeat(begins, sizes)
+        held &= place <= np.repeat(sizes, sizes) - 4  # none reaches into the next unit: the number is the unit's alone
         return np.add.reduceat(np.where(held & (place <= SHORT), np.left_shift(np.int64(1), np.minimum(place, SHORT)), 0), begins)
 
 

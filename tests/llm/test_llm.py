@@ -299,6 +299,23 @@ def test_merges_out_of_order_are_replayed(spark):
     assert {g["word"]: list(g["ids"]) for g in got} == want
 
 
+def test_the_hint_is_the_units_own():
+    """In whatever company a unit is found; and it spares no piece."""
+    pieces = sentencepiece.Pieces(sentencepiece.model_path())
+    grams = sentencepiece.Grams(pieces.rows)
+    r = random.Random(3)
+    units = [" " + "".join(r.choice("etaoinshrdlu") for _ in range(r.randint(1, 70))) for _ in range(300)]
+    alone = [int(grams.fours([u])[0]) for u in units]
+    assert grams.fours(units).tolist() == alone and sorted(alone) == sorted(grams.fours(units[::-1]).tolist())
+    names = {p for p, *_ in pieces.rows}
+    for u, fours in zip(units, alone):
+        shown = u.replace(" ", sentencepiece.SPACE)
+        for s in range(min(len(u), sentencepiece.SHORT)):
+            for k in range(4, 17):
+                if s + k <= min(len(u), sentencepiece.SHORT) and shown[s: s + k] in names:
+                    assert all(fours >> s + x & 1 for x in range(k - 3))
+
+
 def test_long_units_take_the_best_path_too():
     class Pieces:
         kind, longest, rows = sentencepiece.UNIGRAM, 3, [("▁", 3, -3.0), ("▁a", 4, -2.0), ("a", 5, -2.5), ("b", 6, -2.5), ("ab", 7, -3.0), ("bc", 10, -1.0)]

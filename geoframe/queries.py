@@ -270,30 +270,16 @@ def spatial_join_count(spark, d):
     return j.where(N.st_contains_point("ga", F.col("_px"), F.col("_py"), "is_box") < 2).groupBy("oid").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
 
 
-@query(f"WITH {BOXES}, {SBOX} SELECT s.oid FROM sbox s WHERE EXISTS (SELECT 1 FROM boxes b WHERE b.x0 <= s.x0 + s.w AND b.x0 + b.w >= s.x0 AND b.y0 <= s.y0 + s.h AND b.y0 + b.h >= s.y0 AND b.oid % 40 = 0)")
-def spatial_join_semi(spark, d):
-    s = sbox(spark, d).select("oid", F.col("geometry").alias("ga"))
-    b = boxes(spark, d).where("oid % 40 = 0").select(F.col("geometry").alias("gb"))
-    return spatial_join(s, b, "ga", "gb", 8.0, how="left_semi").select("oid")
-
-
-@query(f"WITH {BOXES}, {SBOX} SELECT s.oid FROM sbox s WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.x0 <= s.x0 + s.w AND b.x0 + b.w >= s.x0 AND b.y0 <= s.y0 + s.h AND b.y0 + b.h >= s.y0 AND b.oid % 40 = 0)")
-def spatial_join_anti(spark, d):
-    s = sbox(spark, d).select("oid", F.col("geometry").alias("ga"))
-    b = boxes(spark, d).where("oid % 40 = 0").select(F.col("geometry").alias("gb"))
-    return spatial_join(s, b, "ga", "gb", 8.0, how="left_anti").select("oid")
-
-
 @query(f"WITH {BOXES}, {SBOX} SELECT s.oid FROM sbox s WHERE EXISTS (SELECT 1 FROM boxes b WHERE b.x0 <= s.x0 + s.w AND b.x0 + b.w >= s.x0 AND b.y0 <= s.y0 + s.h AND b.y0 + b.h >= s.y0)")
-def spatial_join_semi_all(spark, d):
+def spatial_join_semi(spark, d):
     s, b = sbox(spark, d).select("oid", F.col("geometry").alias("ga")), boxes(spark, d).select(F.col("geometry").alias("gb"))
     return spatial_join(s, b, "ga", "gb", 8.0, how="left_semi").select("oid")
 
 
-@query(f"WITH {BOXES}, {SBOX} SELECT s.oid FROM sbox s WHERE NOT EXISTS (SELECT 1 FROM boxes b WHERE b.x0 <= s.x0 + s.w AND b.x0 + b.w >= s.x0 AND b.y0 <= s.y0 + s.h AND b.y0 + b.h >= s.y0)")
-def spatial_join_anti_all(spark, d):
-    s, b = sbox(spark, d).select("oid", F.col("geometry").alias("ga")), boxes(spark, d).select(F.col("geometry").alias("gb"))
-    return spatial_join(s, b, "ga", "gb", 8.0, how="left_anti").select("oid")
+@query(f"WITH {BOXES}, {SBOX} SELECT b.oid FROM boxes b WHERE NOT EXISTS (SELECT 1 FROM sbox s WHERE b.x0 <= s.x0 + s.w AND b.x0 + b.w >= s.x0 AND b.y0 <= s.y0 + s.h AND b.y0 + b.h >= s.y0)")
+def spatial_join_anti(spark, d):
+    b, s = boxes(spark, d).select("oid", F.col("geometry").alias("ga")), sbox(spark, d).select(F.col("geometry").alias("gb"))
+    return spatial_join(b, s, "ga", "gb", 8.0, how="left_anti").select("oid")
 
 
 _MEET = "(CASE WHEN ox > 0 AND oy > 0 THEN ox * oy ELSE 0 END)"
@@ -338,13 +324,8 @@ _buffer("round", "w * h + 0.5 * (w + h) + 16 * sin(pi() / 16) * 0.0625", distanc
 _buffer("erode", "(w - 0.5) * (h - 0.5)", distance=-0.25)
 
 
-@query(f"WITH {PTS} SELECT oid, 32 AS points, round(16 * sin(pi() / 16), 6) AS area FROM pts WHERE oid < 500")
-def buf_point(spark, d):
-    return pts(spark, d).where("oid < 500").select("oid", V.st_buffer("geometry", 1.0).alias("g")).select("oid", N.st_point_count("g").alias("points"), F.round(N.st_area("g"), 6).alias("area"))
-
-
 @query(f"WITH {PTS} SELECT oid, 32 AS points, round(16 * sin(pi() / 16), 6) AS area FROM pts")
-def buf_point_all(spark, d):
+def buf_point(spark, d):
     return pts(spark, d).select("oid", V.st_buffer("geometry", 1.0).alias("g")).select("oid", N.st_point_count("g").alias("points"), F.round(N.st_area("g"), 6).alias("area"))
 
 

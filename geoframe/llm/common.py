@@ -124,30 +124,43 @@ def trim() -> None:
 def components(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
     """(node, comp) for every end of an edge; comp is the smallest node that links reach.
 
-    Labels fall to the least of the neighbours' and then to their label's own label
-    (pointer jumping), so that chains of length n need about log n rounds. Each round is
-    written to the shared folder, and the one before it goes; only the count of changes
-    comes to the driver.
+    Nodes hang on the least of their neighbours, and labels fall to their label's own label
+    (pointer jumping) down to the roots, so that chains of length n need about log n rounds.
+    Then the edges are those between roots, without repeats: a group of any size, however many
+    edges it has, is joined to its labels once, and what is left of it is small. Each round is
+    written to the shared folder, and the one before it goes; only counts come to the driver.
     """
-    both = edges.select(F.col(u).alias("a"), F.col(v).alias("b")).where("a <> b")
-    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    size = 16 * both.count()
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("comp"))
-    labels = written(few_files(labels, size), "labels")
-    while True:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy("a").agg(F.min("comp").alias("least"))
-        new = labels.join(near, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "least").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
-        new = new.join(jump, "mid").select("node", "old", F.least("mid", "far").alias("comp"))
-        seen = Observation()
-        new = written(few_files(new, size).observe(seen, F.coalesce(F.count_if(F.col("old") != F.col("comp")), F.lit(0)).alias("changed")), "labels")
-        discard(labels)
-        labels, changed = new, seen.get.get("changed")
-        if not changed:
-            discard(both)
-            out = labels.select("node", "comp")
-            out._written_to = labels._written_to
-            return out
+    between = lambda rows, a, b: rows.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct()
+    rest = written(between(edges, u, v), "edges")
+    size = 32 * rest.count()
+    levels = []
+    while not levels or not rest.isEmpty():
+        ends = rest.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near")))).alias("e"))
+        labels = ends.groupBy(F.col("e.node").alias("node")).agg(F.min("e.near").alias("least")).select("node", F.least("node", "least").alias("comp"))
+        labels, changed = written(few_files(labels, size), "labels"), 1
+        while changed:
+            seen = Observation()
+            jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
+            new = labels.join(jump, F.col("comp") == F.col("mid")).select("node", F.col("comp").alias("old"), F.col("far").alias("comp"))
+            new = written(few_files(new, size).observe(seen, F.coalesce(F.count_if(F.col("old") != F.col("comp")), F.lit(0)).alias("changed")), "labels")
+            discard(labels)
+            labels, changed = new, seen.get.get("changed")
+        of = lambda c: labels.select(F.col("node").alias(f"{c}_node"), F.col("comp").alias(f"{c}_root"))
+        left = rest.join(of("a"), F.col("a") == F.col("a_node")).join(of("b"), F.col("b") == F.col("b_node"))
+        left = written(few_files(between(left, "a_root", "b_root"), size), "edges")
+        discard(rest)
+        levels, rest = [*levels, labels], left
+    discard(rest)
+    found = levels.pop()
+    while levels:  # a root of one level is a node of the next, or done
+        first = levels.pop()
+        last = found.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
+        told = written(few_files(first.join(last, F.col("comp") == F.col("mid"), "left").select("node", F.coalesce("far", "comp").alias("comp")), size), "labels")
+        discard(first, found)
+        found = told
+    out = found.select("node", "comp")
+    out._written_to = found._written_to
+    return out
 
 
 def with_lookup(rows: DataFrame, found: DataFrame, keys: list[str], count: str, by: Column, hot_share: float = 0.001) -> DataFrame:

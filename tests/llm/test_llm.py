@@ -895,3 +895,28 @@ print("RESULT", language_id.identify(d, language_id.fit(d)).count(), toxicity.sc
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=180)
     assert "RESULT 60 60 60" in done.stdout, done.stderr[-2000:]
+
+
+def _joined_rows(spark) -> int:
+    """How many rows the joins of this session have made so far, by Spark's own counts."""
+    store, rows = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    for k in range(runs.size()):
+        run = runs.apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for n in (nodes.apply(i) for i in range(nodes.size())):
+            if "Join" in n.name():
+                for m in (n.metrics().apply(i) for i in range(n.metrics().size())):
+                    if m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                        rows += int(values.apply(m.accumulatorId()).replace(",", ""))
+    return rows
+
+
+def test_components_join_the_edges_of_a_large_group_once(spark):
+    rng = random.Random(4)
+    edges = {(n, rng.randrange(n)) for n in range(1, 400) for _ in range(20)} | {(1000 + n, 1001 + n) for n in range(40)} | {(2000, 2001), (2001, 2000)}
+    edges = sorted({(max(e), min(e)) for e in edges if e[0] != e[1]})
+    before = _joined_rows(spark)
+    got = {r["node"]: r["comp"] for r in common.components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {n: 0 if n < 400 else 1000 if n < 2000 else 2000 for e in edges for n in e}
+    assert _joined_rows(spark) - before < 3 * len(edges) + 6 * len(got)  # both ends of each edge, and the labels

@@ -11,12 +11,13 @@ from geoframe.types import GEOMETRY, MEMBER, PART
 
 
 def _geometry(kind: str, code: int, parts: Column, bbox: Column) -> Column:
+    # no cast of the whole: the planner sees through a struct to its fields, but not through a cast
     return F.struct(F.lit(kind).alias("kind"), F.lit(code).alias("shape_type"), F.lit(False).alias("has_z"), F.lit(False).alias("has_m"),
-                    parts.alias("parts"), F.lit(None).cast(f"array<{MEMBER}>").alias("members"), bbox.alias("bbox")).cast(GEOMETRY)
+                    parts.alias("parts"), F.lit(None).cast(f"array<{MEMBER}>").alias("members"), bbox.alias("bbox"))
 
 
 def _part(x: Column, y: Column, shell: bool | None = None) -> Column:
-    return F.struct(x.alias("x"), y.alias("y"), F.lit(None).cast("array<double>").alias("z"), F.lit(None).cast("array<double>").alias("m"), F.lit(shell).cast("boolean").alias("shell")).cast(PART)
+    return F.struct(x.alias("x"), y.alias("y"), F.lit(None).cast("array<double>").alias("z"), F.lit(None).cast("array<double>").alias("m"), F.lit(shell).cast("boolean").alias("shell"))
 
 
 def _box(x0, y0, x1, y1) -> Column:
@@ -156,6 +157,49 @@ def st_is_box(g: str) -> Column:
     return F.expr(f"coalesce({g}.kind = 'polygon' AND size({g}.parts) = 1 AND size({p}.x) = 4 AND {b}.xmax > {b}.xmin AND {b}.ymax > {b}.ymin AND abs({twice}) = 2 * ({b}.xmax - {b}.xmin) * ({b}.ymax - {b}.ymin), false)")
 
 
+def st_is_envelope(g: str) -> Column:
+    """Whether a geometry is all of its envelope: a box, or a point of one finite vertex. Envelopes then tell its distances."""
+    b, p = f"{g}.bbox", f"get({g}.parts, 0)"
+    point = F.expr(f"coalesce({g}.kind = 'point' AND size({g}.parts) = 1 AND size({p}.x) = 1 AND abs({b}.xmin) < double('infinity') AND abs({b}.ymin) < double('infinity'), false)")
+    return point | st_is_box(g)
+
+
+def st_envelope_distance(a: str, b: str) -> Column:
+    """Between two geometries that are their envelopes."""
+    p, q = F.col(f"{a}.bbox"), F.col(f"{b}.bbox")
+    gap = lambda d: F.greatest(F.lit(0.0), p[f"{d}min"] - q[f"{d}max"], q[f"{d}min"] - p[f"{d}max"])
+    x, y = gap("x"), gap("y")
+    return F.when(x == 0, y).when(y == 0, x).otherwise(F.sqrt(x * x + y * y))
+
+
+def round_half_up(v: Column, digits: int) -> Column:
+    """F.round(v, digits), without its decimal numbers where plain arithmetic gives the same.
+
+    Up to 1e6, v times 10^6 is off by less than 1e-3; away from halves it has the same nearest whole number,
+    and a whole number over a power of ten is the double nearest to that decimal."""
+    if not 0 <= digits <= 6:
+        return F.round(v, digits)
+    unit = float(10**digits)
+    up = v * unit
+    plain = (F.abs(v) < 1e6) & (F.abs(up - F.floor(up) - 0.5) > 1e-2)
+    return F.when(plain, F.floor(up + 0.5) / unit).otherwise(F.round(v, digits))
+
+
+def st_is_disc_centre(g: Column, reach: float) -> Column:
+    """Whether a geometry is a point of one vertex, less than `reach` from 0 along each axis."""
+    p, b = F.get(g["parts"], F.lit(0)), g["bbox"]
+    return F.coalesce((g["kind"] == "point") & (F.size(g["parts"]) == 1) & (F.size(p["x"]) == 1) & (F.abs(b["xmin"]) < reach) & (F.abs(b["ymin"]) < reach), F.lit(False))
+
+
+def st_disc(g: Column, distance: float, quad_segs: int, square: bool = False) -> Column:
+    """The round or square buffer of such a point: clockwise from its left, or lower left, end."""
+    x, y, n = g["bbox"]["xmin"], g["bbox"]["ymin"], 4 * quad_segs
+    steps = [(-1, -1), (-1, 1), (1, 1), (1, -1)] if square else [(math.cos(2 * math.pi * k / n), math.sin(2 * math.pi * k / n)) for k in ((n // 2 - i) % n for i in range(n))]
+    axis = lambda c, steps: F.transform(F.array(*[F.lit(distance * u) for u in steps]), lambda u: c + u)
+    ring = _part(axis(x, [u for u, _ in steps]), axis(y, [v for _, v in steps]), True)
+    return _geometry("polygon", 5, F.array(ring), _box(x - distance, y - distance, x + distance, y + distance))
+
+
 def _box_tests(a: str, b: str) -> dict[str, str]:
     """How two boxes lie, as conditions on their envelopes."""
     p, q = f"{a}.bbox", f"{b}.bbox"

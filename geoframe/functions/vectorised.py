@@ -7,7 +7,7 @@ from dataclasses import replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import _parse_datatype_string
@@ -62,7 +62,7 @@ st_geom_from_geojson = _one(kernel.from_geojson, GEOMETRY)
 st_convex_hull = _one(shapes.convex_hull, GEOMETRY)
 st_is_valid = _one(shapes.is_valid, "boolean")
 st_is_simple = _one(shapes.is_simple, "boolean")
-st_distance = _two(shapes.distance, "double")
+_distance = _two(shapes.distance, "double")
 st_organized = _one(lambda g: kernel.organized(replace(g, shells=[])) if g.kind == "polygon" else g, GEOMETRY)
 
 
@@ -77,6 +77,14 @@ def st_relate(a, b) -> Column:
     return F.when(both, native.st_box_relate(a, b)).otherwise(_relate(F.when(~both, F.col(a)), F.col(b)))
 
 
+def st_distance(a, b) -> Column:
+    """Of two geometries that are their envelopes (boxes, points) it is told natively; only other pairs reach the kernel."""
+    if not (isinstance(a, str) and isinstance(b, str)):
+        return _distance(_c(a), _c(b))
+    both = native.st_is_envelope(a) & native.st_is_envelope(b)
+    return F.when(both, native.st_envelope_distance(a, b)).otherwise(_distance(F.when(~both, F.col(a)), F.when(~both, F.col(b))))
+
+
 def st_simplify(g, tolerance: float, preserve_topology: bool = False) -> Column:
     if preserve_topology:
         raise NotImplementedError("only simplification by part is supported")
@@ -86,7 +94,21 @@ def st_simplify(g, tolerance: float, preserve_topology: bool = False) -> Column:
 def st_buffer(g, distance: float, quad_segs: int = 8, cap="round", join="round", mitre_limit: float = 5.0, single_sided: bool = False) -> Column:
     if cap not in arrangement.CAPS or join not in arrangement.JOINS:
         raise ValueError("unknown cap or join style")
-    return _one(lambda x: arrangement.buffer(x, distance, quad_segs, cap, join, mitre_limit, single_sided), GEOMETRY)(g)
+    exact = _one(lambda x: arrangement.buffer(x, distance, quad_segs, cap, join, mitre_limit, single_sided), GEOMETRY)
+    if not distance > 0 or single_sided or not 1 <= quad_segs <= 64 or arrangement.CAPS[cap] == "flat":
+        return exact(g)
+    # a point's buffer is a regular polygon around it; only other geometries (and points so far out that vertices would meet) reach the arrangement
+    g = _c(g)
+    centre = native.st_is_disc_centre(g, 1e5 * distance)
+    return F.when(centre, native.st_disc(g, distance, quad_segs, arrangement.CAPS[cap] == "square")).otherwise(exact(F.when(~centre, g)))
+
+
+def buffered(df: DataFrame, g: str, distance: float, name: str, quad_segs: int = 8) -> DataFrame:
+    """df with the round buffers of its geometries. Rows with points are parted from the rest, so that they pass no Python function, not even as nulls."""
+    if not distance > 0 or not 1 <= quad_segs <= 64:
+        return df.withColumn(name, st_buffer(g, distance, quad_segs))
+    centre = native.st_is_disc_centre(F.col(g), 1e5 * distance)
+    return df.where(centre).withColumn(name, native.st_disc(F.col(g), distance, quad_segs)).unionByName(df.where(~centre).withColumn(name, st_buffer(g, distance, quad_segs)))
 
 
 def _moved(g: pa.StructArray, move) -> pa.StructArray:

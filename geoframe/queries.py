@@ -47,9 +47,11 @@ def sbox(spark, d) -> DataFrame:
     return _t(spark, d, "supplier").select(k.alias("oid"), N.st_box((k % 10).cast("double"), ((k - k % 10) / 10).cast("double"), (1 + k % 3).cast("double"), (1 + F.col("s_nationkey") % 4).cast("double")).alias("geometry"))
 
 
-def pts(spark, d) -> DataFrame:
+def pts(spark, d, dealt: bool = False) -> DataFrame:
+    """dealt: over all cores, however few files there are, for what costs much a row."""
     k = F.col("event_id")
-    return _t(spark, d, "events").select(k.alias("oid"), "value", N.st_point(((k * 37) % 100).cast("double"), ((k * 91) % 97).cast("double")).alias("geometry"))
+    e = _t(spark, d, "events").select("event_id", "value")
+    return (e.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))) if dealt else e).select(k.alias("oid"), "value", N.st_point(((k * 37) % 100).cast("double"), ((k * 91) % 97).cast("double")).alias("geometry"))
 
 
 def paths(spark, d) -> DataFrame:
@@ -326,7 +328,8 @@ _buffer("erode", "(w - 0.5) * (h - 0.5)", distance=-0.25)
 
 @query(f"WITH {PTS} SELECT oid, 32 AS points, round(16 * sin(pi() / 16), 6) AS area FROM pts")
 def buf_point(spark, d):
-    return pts(spark, d).select("oid", V.st_buffer("geometry", 1.0).alias("g")).select("oid", N.st_point_count("g").alias("points"), F.round(N.st_area("g"), 6).alias("area"))
+    g = V.buffered(pts(spark, d, dealt=True).select("oid", "geometry"), "geometry", 1.0, "g")
+    return g.select("oid", N.st_point_count("g").alias("points"), N.round_half_up(N.st_area("g"), 6).alias("area"))
 
 
 @query(f"WITH {SBOX} SELECT oid, round(2 * w, 6) AS flat, round(2 * w + 4, 6) AS square, round(2 * w + 16 * sin(pi() / 16), 6) AS round_, round(w, 6) AS single FROM sbox")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from geoframe.functions import native as N
 from geoframe.functions import vectorised as V
 from geoframe.operators.aggregates import union_aggregate
-from geoframe.operators.spatial_join import spatial_join
+from geoframe.operators.spatial_join import all_pairs, by_envelope, spatial_join
 from geoframe.plans.layer import Layer
 
 QUERIES: dict = {}
@@ -192,10 +192,12 @@ def simplify_zigzag(spark, d):
 
 @query(f"WITH {SBOX}, {PAIRS} SELECT a, b, round(sqrt(pow(greatest(0, -ox), 2) + pow(greatest(0, -oy), 2)), 6) AS distance FROM pairs")
 def distance_box_box(spark, d):
-    """All pairs of a small table, as its SQL has them; distance_join is the one for large ones."""
+    """All pairs, as its SQL has them; distance_join is the one for large tables."""
     s = sbox(spark, d)
     a, b = s.select(F.col("oid").alias("a"), F.col("geometry").alias("ga")), s.select(F.col("oid").alias("b"), F.col("geometry").alias("gb"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", F.round(V.st_distance("ga", "gb"), 6).alias("distance"))
+    ordered = F.col("a") < F.col("b")
+    far = lambda pairs, distance: pairs.select("a", "b", N.round_half_up(distance, 6).alias("distance"))
+    return by_envelope(a, b, "ga", "gb", lambda a, b: far(all_pairs(a, F.broadcast(b), ordered), N.st_envelope_distance("ga", "gb")), lambda a, b: far(all_pairs(a, b, ordered), V.st_distance("ga", "gb")))
 
 
 @query(f"WITH {SBOX}, {PTS} SELECT s.oid AS box, p.oid AS point, round(sqrt(pow(greatest(s.x0 - p.x, 0, p.x - s.x0 - s.w), 2) + pow(greatest(s.y0 - p.y, 0, p.y - s.y0 - s.h), 2)), 6) AS distance FROM sbox s JOIN pts p ON greatest(s.x0 - p.x, 0, p.x - s.x0 - s.w) <= 2 AND greatest(s.y0 - p.y, 0, p.y - s.y0 - s.h) <= 2 WHERE sqrt(pow(greatest(s.x0 - p.x, 0, p.x - s.x0 - s.w), 2) + pow(greatest(s.y0 - p.y, 0, p.y - s.y0 - s.h), 2)) <= 2")

@@ -202,10 +202,13 @@ def distance_box_box(spark, d):
 
 @query(f"WITH {SBOX}, {PTS} SELECT s.oid AS box, p.oid AS point, round(sqrt(pow(greatest(s.x0 - p.x, 0, p.x - s.x0 - s.w), 2) + pow(greatest(s.y0 - p.y, 0, p.y - s.y0 - s.h), 2)), 6) AS distance FROM sbox s JOIN pts p ON greatest(s.x0 - p.x, 0, p.x - s.x0 - s.w) <= 2 AND greatest(s.y0 - p.y, 0, p.y - s.y0 - s.h) <= 2 WHERE sqrt(pow(greatest(s.x0 - p.x, 0, p.x - s.x0 - s.w), 2) + pow(greatest(s.y0 - p.y, 0, p.y - s.y0 - s.h), 2)) <= 2")
 def distance_join(spark, d):
+    """Points at one place are as far from a box as each other: places are joined with boxes, then points with the places' pairs."""
     s = sbox(spark, d).select(F.col("oid").alias("box"), F.col("geometry").alias("ga"))
-    p = pts(spark, d).select(F.col("oid").alias("point"), F.col("geometry").alias("gb"))
-    j = spatial_join(s, p, "ga", "gb", 8.0, within=2.0).select("box", "point", F.round(V.st_distance("ga", "gb"), 6).alias("distance"))
-    return j.where("distance <= 2")
+    p = pts(spark, d).select(F.col("oid").alias("point"), F.col("geometry.bbox.xmin").alias("_px"), F.col("geometry.bbox.ymin").alias("_py"))
+    at = p.select("_px", "_py").distinct().select("_px", "_py", N.st_point(F.col("_px"), F.col("_py")).alias("gb"))
+    near = lambda s, at, distance: spatial_join(s, at, "ga", "gb", 8.0, within=2.0).select("box", "_px", "_py", distance.alias("_d")).where("_d <= 2")
+    j = by_envelope(s, at, "ga", "gb", lambda s, at: near(s, at, N.st_envelope_distance("ga", "gb")), lambda s, at: near(s, at, V.st_distance("ga", "gb")))
+    return j.join(p, ["_px", "_py"]).select("box", "point", N.round_half_up(F.col("_d"), 6).alias("distance"))
 
 
 _IN = "ox > 0 AND oy > 0"

@@ -274,10 +274,15 @@ def point_in_box(spark, d):
 
 @query(f"WITH {BOXES}, {PTS} SELECT b.oid, count(*) AS n, round(sum(p.value), 4) AS total FROM boxes b JOIN pts p ON p.x BETWEEN b.x0 AND b.x0 + b.w AND p.y BETWEEN b.y0 AND b.y0 + b.h GROUP BY b.oid")
 def spatial_join_count(spark, d):
-    b = boxes(spark, d).select("oid", F.col("geometry").alias("ga"), N.st_is_box("geometry").alias("is_box"))
-    p = pts(spark, d).select("value", F.col("geometry").alias("gb"))
-    j = spatial_join(b, p, "ga", "gb", 2.0).withColumns({"_px": F.col("gb.bbox.xmin"), "_py": F.col("gb.bbox.ymin")})
-    return j.where(N.st_contains_point("ga", F.col("_px"), F.col("_py"), "is_box") < 2).groupBy("oid").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    """Points at one place are counted and summed before the join, so that its pairs grow with the places, not with the points."""
+    b = boxes(spark, d).select("oid", F.col("geometry").alias("ga"))
+    at = pts(spark, d).groupBy(F.col("geometry.bbox.xmin").alias("_px"), F.col("geometry.bbox.ymin").alias("_py")).agg(F.count("*").alias("_n"), F.sum("value").alias("_v"))
+    p = at.select("_n", "_v", N.st_point(F.col("_px"), F.col("_py")).alias("gb"))
+    pairs = lambda b, p: spatial_join(b, p, "ga", "gb", 2.0)  # noqa: E731  a box meets a point where their envelopes meet
+    inside = lambda b, p: pairs(b, p).withColumns({"_px": F.col("gb.bbox.xmin"), "_py": F.col("gb.bbox.ymin")}).where(N.st_contains_point("ga", F.col("_px"), F.col("_py")) < 2)
+    each = lambda rows: rows.select("oid", "_n", "_v")
+    j = by_envelope(b, p, "ga", "gb", lambda b, p: each(pairs(b, p)), lambda b, p: each(inside(b, p)))
+    return j.groupBy("oid").agg(F.sum("_n").alias("n"), F.round(F.sum("_v"), 4).alias("total"))
 
 
 @query(f"WITH {BOXES}, {SBOX} SELECT s.oid FROM sbox s WHERE EXISTS (SELECT 1 FROM boxes b WHERE b.x0 <= s.x0 + s.w AND b.x0 + b.w >= s.x0 AND b.y0 <= s.y0 + s.h AND b.y0 + b.h >= s.y0)")
